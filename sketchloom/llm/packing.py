@@ -156,13 +156,14 @@ def place(cut: DataFrame, capacity: int = 2048, id_column: str = "doc_id") -> Da
     before = before.select("length", "__salt", (F.sum("n").over(Window.partitionBy("length").orderBy("__salt")) - F.col("n")).alias("__before"))
     ranked = salted.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__salt").orderBy(id_column, "piece", "ids_crc32")) - 1)
     ranked = ranked.join(before, ["length", "__salt"]).select(*cut.columns, (F.col("__rank") + F.col("__before")).alias("__rank"))
-    at, by = len(cut.columns), cut.columns.index("length")
+    names = cut.columns
+    at, by = len(names), names.index("length")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields) + ", sequence_id long, offset long"
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bins, offsets = made.value.place(batch.column(by).to_numpy(), batch.column(at).to_numpy()) if batch.num_rows else (np.zeros(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(bins), pa.array(offsets)], names=[*cut.columns, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(bins), pa.array(offsets)], names=[*names, "sequence_id", "offset"])
 
     return ranked.mapInArrow(looked_up, schema)
 
