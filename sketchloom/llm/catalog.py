@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import packing, simhash, token_files, url_filters
+from sketchloom.llm import packing, simhash, token_files, url_filters, warc
 from sketchloom.llm.common import table
 
 #: Production rules of the URL filter.
@@ -28,6 +28,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_round_trip(table(spark, sf_dir, "pages"), "page_id", "html", "url")
+    page = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) as bigint)")
+    return found.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled outcomes: pages whose id has a row in `labels`; good is quality 1 and not toxic, in all such rows."""
     pages = table(spark, sf_dir, "pages")
@@ -42,6 +48,7 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op2_packing": op2_packing,
     "op7_simhash": op7_simhash,
+    "op8_warc": op8_warc,
     "op10_url_filters": op10_url_filters,
 }
 
