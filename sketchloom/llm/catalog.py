@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import packing, simhash, token_files, url_filters, warc
-from sketchloom.llm.common import table
+from sketchloom.llm import packing, simhash, token_files, toxicity, url_filters, warc
+from sketchloom.llm.common import id_remainder_column, table
 
 #: Production rules of the URL filter.
 URL_RULES = ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")
@@ -23,6 +23,14 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_remainder_column("doc_id", 5) == 0
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~held_out).select("doc_id", "toxic"))
+    scored = toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score")
+    return scored.withColumn("predicted", toxicity.toxic().cast("int"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -47,6 +55,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_token_files": op3_token_files,
     "op2_packing": op2_packing,
+    "op5_toxicity": op5_toxicity,
     "op7_simhash": op7_simhash,
     "op8_warc": op8_warc,
     "op10_url_filters": op10_url_filters,
