@@ -1,27 +1,41 @@
 """Token ids of whole texts by a file of the tokenizers library, remembered by chunk.
 
 Texts are parted where the tokenizer's own rules never join across, so that the ids of a text
-are those of its chunks in turn. The library encodes each new chunk; chunks met again are
-looked up. Which parting is right is read from the tokenizer's description; for one that is
-not known here, whole texts are encoded.
+are those of its chunks in turn. Chunks met again are looked up. A new chunk that is a plain
+word (Latin letters, then perhaps marks) goes to the library's model word by word, as the
+tokenizer's own rules would part it; any other goes through the whole tokenizer. Which parting
+is right is read from the tokenizer's description; for one that is not known here, whole texts
+are encoded.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: What is remembered goes once it has so many chunks or bytes; results don't depend on it.
-MEMO_CHUNKS, MEMO_BYTES = 800_000, 96 << 20
-#: Texts are parted so many characters at a time.
-AT_ONCE = 1 << 20
-#: White space to the tokenizers' patterns that bytes.split() and \s in bytes don't know, and what only the latter take for it.
-OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+MEMO_CHUNKS, MEMO_BYTES = 300_000, 48 << 20
+#: White space to the tokenizers' patterns that bytes.split() and \s in bytes don't know, and, first, what only the latter take for it.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+OTHER_SPACE = SEPARATORS + "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SPACED = re.compile(rb"\s*\S+|\s+")
+#: A white-space character, letters that normalisation keeps as they are, and marks that join neither letters nor an apostrophe.
+PLAIN = re.compile("([ \n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write each byte as a letter: printable ones as themselves, the others, in order, from U+0100."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) if b in printable else chr(256 + others.index(b)) for b in range(256)}
+
+
+BYTE_LETTERS = byte_letters()
 
 
 def parting(description: dict) -> str:
@@ -41,62 +55,59 @@ def parting(description: dict) -> str:
     return ""
 
 
-class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids."""
+class Encoder(dict):
+    """Encodes texts to little-endian unsigned 32-bit ids; as a dictionary, it has the ids of chunks met."""
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.size = self.tokenizer.get_vocab_size()
         with open(path, encoding="utf-8") as f:
             self.parting = parting(json.load(f))
-        self.memo: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.words: dict[str, bytes] = {}
         self.held = 0
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, chunks: list[bytes]) -> None:
-        if len(self.memo) + len(chunks) > MEMO_CHUNKS or self.held > MEMO_BYTES:
-            self.memo.clear()
-            self.held = 0
-        for at in range(0, len(chunks), 20_000):
-            some = chunks[at : at + 20_000]
-            found = self.tokenizer.encode([c.decode() for c in some], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, dtype="<u4").tobytes()
-            ends = (4 * np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(some)), "right")).tolist()
-            start = 0
-            for chunk, end in zip(some, ends, strict=True):
-                self.memo[chunk] = ids[start:end]
-                start = end
-            self.held += len(ids) + sum(map(len, some))
+    def word(self, text: str) -> bytes:
+        """The ids of what the tokenizer would part off and not part further."""
+        if (known := self.words.get(text)) is not None:
+            return known
+        ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(BYTE_LETTERS))]
+        found = self.words[text] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def chunk(self, text: str) -> bytes:
+        if not (plain := PLAIN.fullmatch(text)):
+            return self.whole(text)
+        space, letters, marks = plain.groups()
+        if self.parting == "words":
+            return self.word(letters.lower()) + (self.word(marks) if marks else b"")
+        if space == "\n":
+            return self.word(space) + self.word(letters) + (self.word(marks) if marks else b"")
+        return self.word(space + letters) + (self.word(marks) if marks else b"")
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self[chunk] = self.chunk(chunk.decode())
+        self.held += len(chunk) + len(ids)
+        return ids
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text; the texts are parted some at a time."""
-        if not self.parting:
-            yield from map(self.whole, texts)
-            return
-        part = bytes.split if self.parting == "words" else SPACED.findall
-        at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= AT_ONCE):
-                size += len(texts[end])
-                end += 1
-            some = [None if OTHER_SPACE.search(x) else part(x.encode()) for x in texts[at:end]]
-            memo = self.memo
-            new: set[bytes] = set()
-            for chunks in some:
-                if chunks:
-                    new.update(chunks)
-            if missing := [c for c in new if c not in memo]:
-                before = len(memo)
-                self.learn(missing)
-                if len(memo) < before + len(missing):  # what was remembered has gone
-                    self.learn([c for c in new if c not in memo])
-            for text, chunks in zip(texts[at:end], some, strict=True):
-                yield self.whole(text) if chunks is None else b"".join(map(memo.__getitem__, chunks))
-            at = end
+        """The ids of each text."""
+        part = {"words": bytes.split, "spaced": SPACED.findall}.get(self.parting)
+        for text in texts:
+            if part is None or any(c in text for c in (SEPARATORS if text.isascii() else OTHER_SPACE)):
+                yield self.whole(text)
+                continue
+            if len(self) > MEMO_CHUNKS or self.held > MEMO_BYTES:
+                self.clear()
+                self.held = 0
+            if len(self.words) > MEMO_CHUNKS:
+                self.words.clear()
+            yield b"".join(map(self.__getitem__, part(text.encode())))
 
 
 _ENCODERS: dict[str, Encoder] = {}
