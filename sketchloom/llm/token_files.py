@@ -271,7 +271,7 @@ def write_tokens(df: DataFrame, tokenizer: str, folder: str, end: int = 2, id_co
                     files.delete_file(f"{path}/{name}.draft")
             yield batch
 
-    listed = drafts.drop("counts").repartition("shard", "number").mapInArrow(finished, "shard long, number long, file string, documents long, tokens long")
+    listed = drafts.drop("counts").repartition(max(1, drafts.count()), "shard", "number").mapInArrow(finished, "shard long, number long, file string, documents long, tokens long")
     listed = written(listed)
     shards = listed.groupBy("shard").agg(F.sum("tokens").alias("tokens"), F.first(F.floor(F.col("shard") / 1000)).alias("range"))
     # two levels of sums, so that no window holds every shard
