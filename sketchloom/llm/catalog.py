@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import packing, simhash, token_files, toxicity, url_filters, warc
+from sketchloom.llm import packing, quality, simhash, token_files, toxicity, url_filters, warc
 from sketchloom.llm.common import id_remainder_column, table
 
 #: Production rules of the URL filter.
@@ -31,6 +31,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", toxicity.toxic().cast("int"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.assess(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -56,6 +61,7 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op2_packing": op2_packing,
     "op5_toxicity": op5_toxicity,
+    "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
     "op8_warc": op8_warc,
     "op10_url_filters": op10_url_filters,
