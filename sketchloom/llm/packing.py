@@ -25,7 +25,7 @@ from sketchloom.llm.common import written
 from sketchloom.llm.tokens import encoder
 
 #: Rows of one length that are ranked together.
-RANKED = 50_000
+RANKED = 1_000
 
 
 class CapacityTree:
