@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import packing, quality, simhash, token_files, toxicity, url_filters, warc
+from sketchloom.llm import lm_scoring, packing, quality, simhash, token_files, toxicity, url_filters, warc
 from sketchloom.llm.common import id_remainder_column, table
 
 #: Production rules of the URL filter.
@@ -47,6 +47,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled outcomes: pages whose id has a row in `labels`; good is quality 1 and not toxic, in all such rows."""
     pages = table(spark, sf_dir, "pages")
@@ -64,6 +68,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
     "op8_warc": op8_warc,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_url_filters": op10_url_filters,
 }
 
