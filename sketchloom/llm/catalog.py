@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import lm_scoring, packing, quality, simhash, token_files, toxicity, url_filters, warc
+from sketchloom.llm import lm_scoring, packing, quality, sentencepiece, simhash, token_files, toxicity, url_filters, warc
 from sketchloom.llm.common import id_remainder_column, table
 
 #: Production rules of the URL filter.
@@ -23,6 +23,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_remainder_column("doc_id", 5) == 0
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
@@ -64,6 +69,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_token_files": op3_token_files,
     "op2_packing": op2_packing,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
