@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import lm_scoring, packing, quality, sentencepiece, simhash, token_files, toxicity, url_filters, warc
+from sketchloom.llm import lm_scoring, neighbours, packing, quality, sentencepiece, simhash, token_files, toxicity, url_filters, warc
 from sketchloom.llm.common import id_remainder_column, table
 
 #: Production rules of the URL filter.
 URL_RULES = ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -67,6 +72,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_nearest": op1_nearest,
     "op3_token_files": op3_token_files,
     "op2_packing": op2_packing,
     "op4_sentencepiece": op4_sentencepiece,
