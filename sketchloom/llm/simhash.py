@@ -316,7 +316,7 @@ def near_links(fps: DataFrame, radius: int = 2, parts: int = 3, bucket_rows: int
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, seed: int = 42, parts: int = 3, bucket_rows: int = 20_000) -> DataFrame:
-    """Per row of df: its id, `fp` (long) and `component_id`, the smallest id that links reach.
+    """Per row of df: its id, `fp` (long), `component_id`, the smallest id that links reach, and `component`, a fingerprint of the component.
 
     Empty and null texts have fingerprint 0 and are linked like any other. Rows that repeat
     keep one row each. A null id gets a component like any other row; an id is smallest among
@@ -329,5 +329,40 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     members = connected_components(links)  # of fingerprints
     least = written(groups.join(members.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "least"))
     smallest = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = least.join(smallest, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("__id").alias(id_column), "fp", "component_id")
+    named = least.join(smallest, "component").select("fp", "component_id", "component")
+    return rows.join(named, "fp").select(F.col("__id").alias(id_column), "fp", "component_id", "component")
+
+
+def deduplicate(df: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """df with one row of each component of near-duplicates: that with the smallest id.
+
+    Ids that are null or repeat don't tell rows apart; then the row is told by its fingerprint
+    too, which is computed once more, and the smallest id (nulls last) and fingerprint stay, once.
+    """
+    found = written(near_duplicates(df, id_column, text, shingle, radius))
+    own = F.col(id_column)
+    told = found.agg(F.count(F.lit(1)).alias("n"), F.count(own).alias("ids")).first()
+    repeated = found.groupBy(own).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    if told.n == told.ids and not repeated:
+        gone = found.where(own != F.col("component_id")).select(own.alias("__gone"))
+        return df.join(gone, F.col(f"`{id_column}`").cast("long") == F.col("__gone"), "left_anti")
+    first = found.groupBy("component").agg(F.min(F.struct(own.isNull().alias("null"), own.alias("id"), "fp")).alias("first"))
+    first = first.select(F.col("first.id").alias("__first_id"), F.col("first.fp").alias("__first_fp"))
+    fields = df.schema.fields
+    hashed = with_fingerprints(df, text, shingle)
+    kept = hashed.join(first, F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col("__first_id")) & (F.col("__fp") == F.col("__first_fp")), "left_semi")
+    return kept.dropDuplicates([id_column, "__fp"]).select(*(F.col(f"`{f.name}`") for f in fields))
+
+
+def with_fingerprints(df: DataFrame, text: str, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """df with all its columns, and `__fp`."""
+    fields = df.schema.fields
+    at = [f.name for f in fields].index(text)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["__fp bigint"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(x.as_py(), shingle, seed) for x in batch.column(at)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*(f.name for f in fields), "__fp"])
+
+    return df.mapInArrow(hashed, schema)
