@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from sketchloom.operators import tdigest
 
@@ -63,12 +64,12 @@ def _kll(name: str, *args: Column) -> Column:
     return F.call_function(f"kll_{name}_double", *args)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _tdigest_build(values: pd.Series) -> bytes:
     return tdigest.build(values.to_numpy())
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _tdigest_merge(sketches: pd.Series) -> bytes:
     return tdigest.merge(list(sketches))
 
