@@ -20,7 +20,7 @@ away, in space linear in the bucket; only a spanning forest of the links leaves
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +54,7 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     digest = xxhash.xxh64_intdigest
     pairs = zip(starts[:n].tolist(), last.tolist(), strict=True)
     for at in range(0, n, CHUNK):
-        hashes = np.array([digest(joined[a:b], seed) for (a, b), _ in zip(pairs, range(min(CHUNK, n - at)), strict=False)], dtype="<u8")
+        hashes = np.array([digest(joined[a:b], seed) for a, b in islice(pairs, CHUNK)], dtype="<u8")
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
@@ -255,9 +255,9 @@ def through_neighbours(own: np.ndarray, flips: np.ndarray, radius: int) -> Itera
 
 
 def near_links(fps: DataFrame, radius: int = 2, parts: int = 3, bucket_rows: int = 20_000) -> DataFrame:
-    """Links (a, b: long) between distinct fingerprints `fp` that join all which differ in at most `radius` bits.
+    """Links (a, b: long) that join just those distinct fingerprints `fp` which chains of at most `radius` differing bits join.
 
-    Not every such pair is a link, but each is joined by links, each of which is such a pair.
+    They are stars of what each task has joined, so there are no more than fingerprints by mask.
     """
     if not 0 <= radius <= 2:
         raise ValueError("a radius from 0 to 2")
