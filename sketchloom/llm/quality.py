@@ -7,8 +7,11 @@ by the alphabet, not by the corpus: at most A ** ORDER entries a language. It is
 arrays of 64-bit hashes with log probabilities beside them, found by binary search; each batch
 looks every distinct n-gram up once.
 
-The bands: a language's documents that pass the base rules have a median log perplexity and a
-median absolute deviation from it; documents beyond `below` or `above` deviations are rejected.
+A document is read in windows of WINDOW characters; each window counts as its own language's
+model has it or, where that is better, as that of one of the `ALTERNATIVES` most frequent other
+languages, so that a passage in another language is no fault. The bands: a language's documents
+that pass the base rules have a median log perplexity and a median absolute deviation from it;
+documents beyond `below` or `above` deviations are rejected.
 Languages beyond the `most_languages` most frequent share one model and one band.
 """
 
@@ -35,6 +38,8 @@ PIECE = 1 << 20
 SYMBOLS = b"#*$%&|<>"
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Characters that are read by one model, and how many languages besides its own may read a document.
+WINDOW, ALTERNATIVES = 128, 7
 #: Log perplexities are counted in bins of this width for the bands.
 BIN = 0.002
 
@@ -191,6 +196,11 @@ class Rules:
     def language(self, lang: str | None) -> str:
         return lang if lang in self.known else OTHER
 
+    def readers(self, own: str) -> list[KneserNey]:
+        """The models that may read a language's documents, its own first."""
+        others = [x for x in self.known if x != own][:ALTERNATIVES]
+        return [self.models[x] for x in (own, *others) if x in self.models]
+
 
 def count_grams(df: DataFrame, text: str, lang: str, known: tuple[str, ...]) -> DataFrame:
     """(lang, gram, n) over whole texts: counted by task, then summed."""
@@ -222,6 +232,20 @@ def count_grams(df: DataFrame, text: str, lang: str, known: tuple[str, ...]) ->
     return df.select(text, lang).mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def perplexities(codes: list[np.ndarray], readers: list[KneserNey]) -> np.ndarray:
+    """Log perplexities of documents (codes of their n-grams, none empty), each window by the reader that has it likeliest."""
+    distinct, which = np.unique(np.concatenate(codes), return_inverse=True)
+    sizes = np.array([len(c) for c in codes])
+    windows = -(-sizes // WINDOW)
+    first = np.repeat(np.cumsum(sizes) - sizes, windows)
+    place = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    starts = first + WINDOW * place
+    best = np.full(len(starts), -np.inf)
+    for reader in readers:
+        best = np.maximum(best, np.add.reduceat(reader.logp(distinct)[which], starts))
+    return -np.add.reduceat(best, np.cumsum(windows) - windows) / sizes
+
+
 def measure(df: DataFrame, rules: Rules, text: str, lang: str, keep: list[str]) -> DataFrame:
     """The columns `keep` of df, the statistics, `lang_group` and `log_perplexity` (null for a text without characters)."""
     fields = [f for f in df.select(*(F.col(f"`{c}`") for c in keep)).schema.fields]
@@ -244,10 +268,7 @@ def measure(df: DataFrame, rules: Rules, text: str, lang: str, keep: list[str])
                     rows = [r for r, g in enumerate(groups) if g == own and len(codes[r])]
                     if not rows or own not in rules.models:
                         continue
-                    distinct, which = np.unique(np.concatenate([codes[r] for r in rows]), return_inverse=True)
-                    logp = rules.models[own].logp(distinct)[which]
-                    sizes = np.array([len(codes[r]) for r in rows])
-                    mean[rows] = -np.add.reduceat(logp, np.cumsum(sizes) - sizes) / sizes
+                    mean[rows] = perplexities([codes[r] for r in rows], rules.readers(own))
                 values = [pa.array(c, pa.int64()) for c in zip(*told, strict=True)]
                 yield pa.RecordBatch.from_arrays([*some.columns[:k], *values, pa.array(groups, pa.string()), pa.array(mean, pa.float64(), mask=np.isnan(mean))], names=names)
 
