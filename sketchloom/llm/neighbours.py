@@ -17,6 +17,7 @@ vectors once; nothing is broadcast or collected.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import comb, erf, sqrt
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 #: Projections, the share of them that a candidate must collide in, and how fast windows widen.
 PROJECTIONS = 48
 SHARE = 0.5
-WIDEN = 1.25
+WIDEN = 1.3
 
 
 def width_for(recall: float, m: int, threshold: int) -> float:
@@ -48,48 +49,67 @@ class Index:
         self.ids, self.vectors = ids, vectors
         self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1], m))
         projected = vectors @ self.directions
-        self.order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32).copy()
+        self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
+        self.squares = np.einsum("ij,ij->i", vectors, vectors)
         self.sorted = np.take_along_axis(projected.T, self.order, axis=1).copy()
-        self.m = m
         # a first half-width at which a window holds a few dozen of the block
-        gaps = self.sorted[:, -1] - self.sorted[:, 0]
-        self.first = float(np.median(gaps)) * 16 / max(16, len(ids)) or 1e-12
-
-    def search(self, query: np.ndarray, own: int, k: int, threshold: int, ratio: float) -> tuple[np.ndarray, np.ndarray, int]:
-        """Row numbers and distances of the k nearest found, nearest first, ties to the smaller id; and how many were verified."""
+        spread = float(np.median(self.sorted[:, -1] - self.sorted[:, 0]))
+        self.first = max(spread * 16 / max(16, len(ids)), 1e-12)
+
+    def windows(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Half-widths by round, and where the queries' windows begin and end: (2, queries, rounds, projections)."""
+        at = queries @ self.directions
+        reach = float(np.maximum(np.abs(at - self.sorted[:, 0]), np.abs(at - self.sorted[:, -1])).max())
+        rounds = 2 + max(0, int(np.ceil(np.log(max(reach, self.first) / self.first) / np.log(WIDEN))))
+        halves = self.first * WIDEN ** np.arange(rounds)
+        bounds = np.empty((2, len(queries), rounds, at.shape[1]), np.int32)
+        for j, column in enumerate(self.sorted):
+            bounds[0, :, :, j] = np.searchsorted(column, at[:, j, None] - halves, "left")
+            bounds[1, :, :, j] = np.searchsorted(column, at[:, j, None] + halves, "right")
+        return halves, bounds
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, threshold: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """For each query the row numbers and distances of the k nearest found, nearest first, ties to the smaller id; and how many were verified.
+
+        The last round's windows hold all rows, so that there are k, or all but the query's own.
+        """
+        for at in range(0, len(queries), 256):
+            halves, bounds = self.windows(queries[at : at + 256])
+            for q, me in enumerate(own[at : at + 256]):
+                yield self._found(queries[at + q], me, halves, bounds[0, q].tolist(), bounds[1, q].tolist(), k, threshold, ratio)
+
+    def _found(self, query: np.ndarray, own: int, halves: np.ndarray, begins: list, ends: list, k: int, threshold: int, ratio: float) -> tuple[np.ndarray, np.ndarray, int]:
         n = len(self.ids)
-        at = query @ self.directions
-        counts = np.zeros(n, np.int16)
-        checked = np.zeros(n, bool)
-        checked[self.ids == own] = True
+        counts = np.zeros(n, np.int64)
+        checked = self.ids == own
         need = min(k, n - int(checked.sum()))
         rows, distances = np.zeros(0, np.int64), np.zeros(0)
-        left = np.array([np.searchsorted(self.sorted[j], at[j]) for j in range(self.m)])
-        right = left.copy()
-        half = self.first
-        while need:
-            new = []
-            for j in range(self.m):
-                a = np.searchsorted(self.sorted[j], at[j] - half)
-                b = np.searchsorted(self.sorted[j], at[j] + half, "right")
-                new.append(self.order[j, a : left[j]])
-                new.append(self.order[j, right[j] : b])
-                left[j], right[j] = min(a, left[j]), max(b, right[j])
-            counts += np.bincount(np.concatenate(new), minlength=n).astype(np.int16)
+        left = right = None
+        for half, a, b in zip(halves if need else (), begins, ends, strict=False):
+            if left is None:
+                new = [o[i:j] for o, i, j in zip(self.order, a, b, strict=True)]
+            else:
+                new = [o[i:j] for o, i, j in zip(self.order, a, left, strict=True)] + [o[i:j] for o, i, j in zip(self.order, right, b, strict=True)]
+            left, right = a, b
+            counts += np.bincount(np.concatenate(new), minlength=n)
             found = np.flatnonzero((counts >= threshold) & ~checked)
             if len(found):
                 checked[found] = True
-                apart = self.vectors[found] - query
-                rows = np.concatenate([rows, found])
-                distances = np.concatenate([distances, np.sqrt((apart * apart).sum(axis=1))])
-                if len(rows) > k:
-                    best = np.lexsort((self.ids[rows], distances))[:k]
-                    rows, distances = rows[best], distances[best]
-            if len(rows) >= need and (distances.max() * ratio <= half or checked.all()):
+                rows, distances = self._nearest(query, np.concatenate([rows, found]), k)
+            if len(rows) >= need and distances.max() * ratio <= half:
                 break
-            half *= WIDEN
-        best = np.lexsort((self.ids[rows], distances))
-        return rows[best], distances[best], int(checked.sum())
+        return rows, distances, int(checked.sum())
+
+    def _nearest(self, query: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest of `rows` and their distances, ties to the smaller id: by products first, and exactly for those that may be among them."""
+        if len(rows) > 4 * k:
+            size = self.squares[rows] + query @ query
+            rough = size - 2 * (self.vectors[rows] @ query)
+            rows = rows[rough <= np.partition(rough, k - 1)[k - 1] + 1e-9 * size.max()]
+        apart = self.vectors[rows] - query
+        distances = np.sqrt((apart * apart).sum(axis=1))
+        best = np.lexsort((self.ids[rows], distances))[:k]
+        return rows[best], distances[best]
 
 
 def usable(vector: Column) -> Column:
@@ -98,7 +118,7 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(odd, F.lit(True)) & F.exists(vector, lambda x: x != 0)
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", vector: str = "embedding", recall: float = 0.99, block_rows: int = 4096, query_rows: int = 2048, projections: int = PROJECTIONS) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", vector: str = "embedding", recall: float = 0.95, block_rows: int = 4096, query_rows: int = 2048, projections: int = PROJECTIONS) -> DataFrame:
     """The k nearest rows of df, by Euclidean distance, to each row of `queries`, but those with the query's own id.
 
     Returns query_id, rank (from 1), the id, score (the distance in double precision). Equal
@@ -131,8 +151,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec
         out = [], [], []
         if len(have) and len(want):
             index = Index(ids[have], values[have], projections)
-            for q in want:
-                rows, distances, _ = index.search(values[q], ids[q], k, threshold, ratio)
+            for q, (rows, distances, _) in zip(want, index.search(values[want], ids[want], k, threshold, ratio), strict=True):
                 out[0].append(np.full(len(rows), ids[q]))
                 out[1].append(index.ids[rows])
                 out[2].append(distances)

@@ -287,8 +287,8 @@ def test_search_in_a_block_finds_the_nearest():
     index = neighbours.Index(np.arange(500), x)
     ratio = neighbours.width_for(0.99, neighbours.PROJECTIONS, neighbours.PROJECTIONS // 2)
     hits = 0
-    for q in range(0, 500, 20):
-        rows, d, _ = index.search(x[q], q, 10, neighbours.PROJECTIONS // 2, ratio)
+    asked = np.arange(0, 500, 20)
+    for q, (rows, d, _) in zip(asked, index.search(x[asked], asked, 10, neighbours.PROJECTIONS // 2, ratio), strict=True):
         exact = np.sqrt(((x - x[q]) ** 2).sum(1))
         exact[q] = np.inf
         best = np.lexsort((np.arange(500), exact))[:10]
@@ -296,7 +296,7 @@ def test_search_in_a_block_finds_the_nearest():
         assert np.allclose(d, exact[rows]) and len(rows) == 10
     assert hits / 250 >= 0.95
     one = neighbours.Index(np.arange(2), np.ones((2, 3)))
-    assert one.search(np.ones(3), 0, 10, 24, ratio)[0].tolist() == [1]
+    assert next(one.search(np.ones((1, 3)), np.array([0]), 10, 24, ratio))[0].tolist() == [1]
 
 
 def test_warc_records_in_gzip_members():
