@@ -39,7 +39,7 @@ ALPHA = 0.1
 OCTAVE = 32
 FEATURES = 4
 ROWS_A_CHUNK = 256
-BATCH = 4096
+BATCH = 2048
 END = xxhash.xxh64_intdigest(b"")
 
 
@@ -262,7 +262,7 @@ def learn(model: Model, block: Block, weights: np.ndarray, bias: np.ndarray, see
             g = -np.exp(log_softmax(weights, bias, r))
             g[np.arange(len(y)), y] += 1
             bias += np.float32(rate / 4) * g.mean(axis=0)
-            flat = r.ravel()
+            flat = r.ravel().astype(np.uint16) if len(weights) <= 1 << 16 else r.ravel()  # short integers sort faster
             order = np.argsort(flat, kind="stable")
             ordered = flat[order]
             begins = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
