@@ -43,7 +43,7 @@ PRECISION = 20
 LANES = 64
 BLOCK = 1 << 16
 #: Tokens of a file, at least, but for a shard's last.
-FILE_TOKENS = 1 << 21
+FILE_TOKENS = 1 << 22
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 LOW_WORD = np.uint64((1 << 32) - 1)
@@ -189,17 +189,19 @@ def read_image(image: bytes, table: Table, blocks: range | None = None) -> tuple
 
 
 def _draft(keys: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """A file's documents before the table is known: as they are, with a checksum; deflating them would cost more than it saves."""
     kind = np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.uint32
-    head = struct.pack("<QB", len(keys), kind().itemsize) + np.array([0 if k is None else k for k in keys], "<i8").tobytes() + np.array([k is None for k in keys], np.uint8).tobytes() + lengths.astype("<u4").tobytes()
-    return zstandard.ZstdCompressor(1, write_checksum=True).compress(head + ids.astype(kind).tobytes())
+    body = struct.pack("<QB", len(keys), kind().itemsize) + np.array([0 if k is None else k for k in keys], "<i8").tobytes() + np.array([k is None for k in keys], np.uint8).tobytes() + lengths.astype("<u4").tobytes() + ids.astype(kind).tobytes()
+    return struct.pack("<I", zlib.crc32(body)) + body
 
 
 def _of_draft(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(data)
-    n, width = struct.unpack_from("<QB", data)
-    keys, null = np.frombuffer(data, "<i8", n, 9).tolist(), np.frombuffer(data, np.uint8, n, 9 + 8 * n)
-    ids = np.frombuffer(data, {2: np.uint16, 4: np.uint32}[width], -1, 9 + 13 * n)
-    return [None if x else k for k, x in zip(keys, null, strict=True)], np.frombuffer(data, "<u4", n, 9 + 9 * n), ids
+    if struct.unpack_from("<I", data)[0] != zlib.crc32(memoryview(data)[4:]):
+        raise Corrupt("not a whole draft")
+    n, width = struct.unpack_from("<QB", data, 4)
+    keys, null = np.frombuffer(data, "<i8", n, 13).tolist(), np.frombuffer(data, np.uint8, n, 13 + 8 * n)
+    ids = np.frombuffer(data, {2: np.uint16, 4: np.uint32}[width], -1, 13 + 13 * n)
+    return [None if x else k for k, x in zip(keys, null, strict=True)], np.frombuffer(data, "<u4", n, 13 + 9 * n), ids
 
 
 def write_tokens(df: DataFrame, tokenizer: str, folder: str, end: int = 2, id_column: str = "doc_id", text: str = "text") -> DataFrame:

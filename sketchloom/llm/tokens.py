@@ -19,13 +19,14 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: What is remembered goes once it has so many chunks or bytes; results don't depend on it.
-MEMO_CHUNKS, MEMO_BYTES = 300_000, 48 << 20
+MEMO_CHUNKS, MEMO_BYTES = 500_000, 64 << 20
 #: White space to the tokenizers' patterns that bytes.split() and \s in bytes don't know, and, first, what only the latter take for it.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 OTHER_SPACE = SEPARATORS + "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SPACED = re.compile(rb"\s*\S+|\s+")
-#: A white-space character, letters that normalisation keeps as they are, and marks that join neither letters nor an apostrophe.
-PLAIN = re.compile("([ \n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:]*)")
+#: A white-space character, letters that normalisation keeps as they are, and ASCII signs other than the apostrophe.
+PLAIN = re.compile(r"([ \n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\[-`{-~]*)")
+PACKS = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
 def byte_letters() -> dict[int, str]:
@@ -76,19 +77,24 @@ class Encoder(dict):
         """The ids of what the tokenizer would part off and not part further."""
         if (known := self.words.get(text)) is not None:
             return known
-        ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(BYTE_LETTERS))]
-        found = self.words[text] = struct.pack(f"<{len(ids)}I", *ids)
+        plain = text if text.isascii() else text.encode().decode("latin-1").translate(BYTE_LETTERS)
+        if plain[0] <= " ":
+            plain = BYTE_LETTERS[ord(plain[0])] + plain[1:]
+        ids = [t.id for t in self.model.tokenize(plain)]
+        found = self.words[text] = PACKS[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
         return found
 
     def chunk(self, text: str) -> bytes:
         if not (plain := PLAIN.fullmatch(text)):
             return self.whole(text)
-        space, letters, marks = plain.groups()
+        space, letters, signs = plain.groups()
         if self.parting == "words":
-            return self.word(letters.lower()) + (self.word(marks) if marks else b"")
-        if space == "\n":
-            return self.word(space) + self.word(letters) + (self.word(marks) if marks else b"")
-        return self.word(space + letters) + (self.word(marks) if marks else b"")
+            return (self.word(letters.lower()) if letters else b"") + (self.word(signs) if signs else b"")
+        if space == "\n" or not (letters or signs):
+            return self.whole(space) + self.chunk(letters + signs) if letters or signs else self.whole(space)
+        if not letters:
+            return self.word(space + signs)
+        return self.word(space + letters) + self.word(signs) if signs else self.word(space + letters)
 
     def __missing__(self, chunk: bytes) -> bytes:
         ids = self[chunk] = self.chunk(chunk.decode())
@@ -105,7 +111,7 @@ class Encoder(dict):
             if len(self) > MEMO_CHUNKS or self.held > MEMO_BYTES:
                 self.clear()
                 self.held = 0
-            if len(self.words) > MEMO_CHUNKS:
+            if len(self.words) > MEMO_CHUNKS // 2:
                 self.words.clear()
             yield b"".join(map(self.__getitem__, part(text.encode())))
 
