@@ -1,4 +1,4 @@
-"""This subpackage's queries by name, and DuckDB SQL for those that SQL can express."""
+"""This subpackage's queries by name."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sketchloom.llm import lm_scoring, neighbours, packing, quality, sentencepiece, simhash, token_files, toxicity, url_filters, warc
 from sketchloom.llm.common import id_remainder_column, table
+from sketchloom.llm.oracles import ORACLE_SQL  # noqa: F401
 
 #: Production rules of the URL filter.
 URL_RULES = ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")
@@ -83,5 +84,3 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_url_filters": op10_url_filters,
 }
-
-ORACLE_SQL: dict[str, str] = {}
