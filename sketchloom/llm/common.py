@@ -59,9 +59,9 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/sketchloom-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """df as a table in the shared folder, read back: it is computed once and survives lost executors."""
+def written(df: DataFrame, folder: str | None = None, rows_a_file: int = 0) -> DataFrame:
+    """df as a table in the shared folder, read back: it is computed once and survives lost executors. rows_a_file 0: no bound."""
     spark = df.sparkSession
     folder = folder or shared_folder(spark)
-    df.write.option("compression", "zstd").parquet(folder)
+    df.write.options(compression="zstd", maxRecordsPerFile=rows_a_file).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)

@@ -38,6 +38,8 @@ ALPHA = 0.1
 #: Counts are told apart to a 32nd of an octave where classes are cut.
 OCTAVE = 32
 FEATURES = 4
+#: Blocks are written to so many files, so that tasks get equal shares of them; with more blocks a file has several.
+BLOCK_FILES = 10_000
 ROWS_A_CHUNK = 256
 BATCH = 2048
 END = xxhash.xxh64_intdigest(b"")
@@ -354,10 +356,11 @@ def corpus_blocks(df: DataFrame, id_column: str, text: str, fold: int, folds: in
 
     bodies = coded.where("bucket = -1").select("block", "ids", "train", "lengths", "tokens", "hashes", "end_place")
     whole = bodies.groupBy("block").cogroup(counted.select("block", "bucket", "counts").groupBy("block")).applyInArrow(merged, "block long, ids array<long>, train binary, lengths binary, tokens binary, hashes binary, end_place long, counts binary")
-    return written(whole), {r.bin: (r.n, r.m) for r in sums}
+    number = coded.where("bucket = -1").count()
+    return written(whole, rows_a_file=max(1, number // BLOCK_FILES)), {r.bin: (r.n, r.m) for r in sums}
 
 
-def score(df: DataFrame, id_column: str = "doc_id", text: str = "text", fold: int = 0, folds: int = 10, classes: int = 32, bits: int = 15, rounds: int = 1, rate: float = 0.3) -> DataFrame:
+def score(df: DataFrame, id_column: str = "doc_id", text: str = "text", fold: int = 0, folds: int = 10, classes: int = 24, bits: int = 15, rounds: int = 1, rate: float = 0.7) -> DataFrame:
     """Scores of every whole text, learned from rows whose id's remainder isn't `fold`.
 
     Returns the id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10). A
