@@ -39,14 +39,13 @@ from sketchloom.llm.tokens import encoder
 
 FILE, TABLE = b"SLTOKEN1", b"SLTABLE1"
 #: log2 of the table's total frequency.
-PRECISION = 20
+PRECISION = 18
 LANES = 64
 BLOCK = 1 << 16
 #: Tokens of a file, at least, but for a shard's last.
 FILE_TOKENS = 1 << 22
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
-LOW_WORD = np.uint64((1 << 32) - 1)
 
 
 class Corrupt(ValueError):
@@ -82,8 +81,8 @@ class Table:
     def __post_init__(self) -> None:
         f = self.freq.astype(np.uint64)
         self.f, self.start = f, (np.cumsum(f) - f).astype(np.uint64)
-        self.limit = f << np.uint64(31 - PRECISION + 32)
-        self.symbol = np.repeat(np.arange(len(f), dtype=np.uint32), self.freq)
+        self.whole = np.uint64(1 << PRECISION)
+        self.symbol = np.repeat(np.arange(len(f), dtype=np.uint16 if len(f) <= 1 << 16 else np.uint32), self.freq)
         self.pad = int(np.argmax(self.freq)) if len(f) else 0
         self.crc = zlib.crc32(self.freq.astype("<u4").tobytes())
 
@@ -104,39 +103,57 @@ class Table:
 
 def coded(tokens: np.ndarray, table: Table) -> tuple[np.ndarray, list[np.ndarray]]:
     """Final states (blocks x LANES) and words of blocks of equal length: tokens is steps x blocks x LANES."""
-    steps, blocks, _ = tokens.shape
-    x = np.full(tokens.shape[1:], LOW, np.uint64)
-    words = np.zeros(tokens.shape, np.uint32)
-    wrote = np.zeros(tokens.shape, bool)
-    shift = np.uint64(PRECISION)
+    steps, blocks, lanes = tokens.shape
+    tokens = tokens.reshape(steps, -1)
+    x = np.full(tokens.shape[1], LOW, np.uint64)
+    f, start, q = np.empty_like(x), np.empty_like(x), np.empty_like(x)
+    words = np.empty(tokens.shape, np.uint32)
+    wrote = np.empty(tokens.shape, bool)
+    shift, room = np.uint64(PRECISION), np.uint64(31 - PRECISION + 32)
     for t in range(steps - 1, -1, -1):
         s = tokens[t]
-        f = table.f[s]
-        full = x >= table.limit[s]
-        words[t] = (x & LOW_WORD).astype(np.uint32)
-        wrote[t] = full
-        x = np.where(full, x >> WORD, x)
-        q = x // f
-        x = (q << shift) + (x - q * f) + table.start[s]
-    return x, [words[:, b][wrote[:, b]] for b in range(blocks)]
+        np.take(table.f, s, out=f, mode="clip")
+        np.take(table.start, s, out=start, mode="clip")
+        full = wrote[t]
+        np.greater_equal(x >> room, f, out=full)
+        words[t] = x  # the low half
+        np.right_shift(x, WORD, out=x, where=full)
+        np.floor_divide(x, f, out=q)
+        # x - q f, the remainder, and q << shift: x + q ((1 << shift) - f) + start
+        np.subtract(table.whole, f, out=f)
+        np.multiply(f, q, out=f)
+        x += f
+        x += start
+    words, wrote = words.reshape(steps, blocks, lanes), wrote.reshape(steps, blocks, lanes)
+    return x.reshape(blocks, lanes), [words[:, b][wrote[:, b]] for b in range(blocks)]
 
 
 def decoded(states: np.ndarray, words: np.ndarray, first: np.ndarray, steps: int, table: Table) -> np.ndarray:
-    """The tokens (steps x blocks x LANES) of blocks that start at words[first]; also how many words each took."""
-    x, at = states.copy(), first.astype(np.int64).copy()
-    out = np.zeros((steps, *x.shape), np.uint32)
+    """The tokens (steps x blocks x LANES) of blocks that start at words[first]."""
+    blocks, lanes = states.shape
+    x, at = states.ravel().copy(), first.astype(np.int64)
+    out = np.empty((steps, len(x)), table.symbol.dtype)
+    f, start = np.empty_like(x), np.empty_like(x)
     slots, shift = np.uint64((1 << PRECISION) - 1), np.uint64(PRECISION)
-    words = np.append(words, np.uint32(0)).astype(np.uint64)
+    words = words.astype(np.uint64)
     for t in range(steps):
         slot = x & slots
-        s = table.symbol[slot]
-        out[t] = s
-        x = table.f[s] * (x >> shift) + slot - table.start[s]
-        need = x < LOW
-        where = np.cumsum(need, axis=1) + (at - 1)[:, None]
-        x = np.where(need, x << WORD | words[np.minimum(where, len(words) - 1)], x)
-        at += need.sum(axis=1)
-    return out
+        s = out[t]
+        np.take(table.symbol, slot.view(np.int64), out=s, mode="clip")
+        np.take(table.f, s, out=f, mode="clip")
+        np.take(table.start, s, out=start, mode="clip")
+        x >>= shift
+        x *= f
+        slot -= start
+        x += slot
+        need = np.flatnonzero(x < LOW)  # lanes of a block in a row, blocks in turn
+        if len(need):
+            block = need // lanes
+            taken = np.bincount(block, minlength=blocks)
+            place = np.arange(len(need)) + np.repeat(at - (np.cumsum(taken) - taken), taken)
+            x[need] = x[need] << WORD | words[place]
+            at += taken
+    return out.reshape(steps, blocks, lanes)
 
 
 def file_image(shard: int, number: int, keys: list, lengths: np.ndarray, ids: np.ndarray, table: Table) -> bytes:
@@ -153,7 +170,7 @@ def file_image(shard: int, number: int, keys: list, lengths: np.ndarray, ids: np
             x, w = coded(part, table)
             states.append(x)
             words += w
-    sums = [zlib.crc32(ids[at : at + BLOCK].astype("<u4").tobytes()) for at in range(0, len(ids), BLOCK)]
+    sums = [zlib.crc32(ids[at : at + BLOCK].astype("<u4")) for at in range(0, len(ids), BLOCK)]
     body = FILE + struct.pack("<6Q", shard, number, table.crc, len(keys), len(ids), len(sizes))
     body += np.array([0 if k is None else k for k in keys], "<i8").tobytes() + np.array([k is None for k in keys], np.uint8).tobytes() + lengths.astype("<u4").tobytes()
     body += np.array([sizes, [len(w) for w in words], sums], "<u4").T.tobytes() + np.concatenate(states).astype("<u8").tobytes()
@@ -183,9 +200,9 @@ def read_image(image: bytes, table: Table, blocks: range | None = None) -> tuple
         out = decoded(states[own].astype(np.uint64), words, first[own], int(steps), table)
         ids += [out[:, k].ravel()[: sizes[b]] for k, b in enumerate(own)]
     for b, found in zip(blocks, ids, strict=True):
-        if zlib.crc32(found.astype("<u4").tobytes()) != sums[b]:
+        if zlib.crc32(found.astype("<u4")) != sums[b]:
             raise Corrupt(f"block {b} isn't as it was written")
-    return shard, number, [None if x else k for k, x in zip(keys, null, strict=True)], lengths, np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+    return shard, number, [None if x else k for k, x in zip(keys, null, strict=True)], lengths, np.concatenate(ids).astype(np.uint32) if ids else np.zeros(0, np.uint32)
 
 
 def _draft(keys: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:

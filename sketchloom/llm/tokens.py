@@ -19,11 +19,11 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: What is remembered goes once it has so many chunks or bytes; results don't depend on it.
-MEMO_CHUNKS, MEMO_BYTES = 500_000, 64 << 20
+MEMO_CHUNKS, MEMO_BYTES = 700_000, 96 << 20
 #: White space to the tokenizers' patterns that bytes.split() and \s in bytes don't know, and, first, what only the latter take for it.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 OTHER_SPACE = SEPARATORS + "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-SPACED = re.compile(rb"\s*\S+|\s+")
+SPACED = re.compile(rb"\s*+\S++|\s++")
 #: A white-space character, letters that normalisation keeps as they are, and ASCII signs other than the apostrophe.
 PLAIN = re.compile(r"([ \n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\[-`{-~]*)")
 PACKS = [struct.Struct(f"<{n}I").pack for n in range(64)]
@@ -78,8 +78,8 @@ class Encoder(dict):
         if (known := self.words.get(text)) is not None:
             return known
         plain = text if text.isascii() else text.encode().decode("latin-1").translate(BYTE_LETTERS)
-        if plain[0] <= " ":
-            plain = BYTE_LETTERS[ord(plain[0])] + plain[1:]
+        if plain[0] == " ":
+            plain = "\u0120" + plain[1:]
         ids = [t.id for t in self.model.tokenize(plain)]
         found = self.words[text] = PACKS[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
         return found
@@ -97,7 +97,14 @@ class Encoder(dict):
         return self.word(space + letters) + self.word(signs) if signs else self.word(space + letters)
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = self[chunk] = self.chunk(chunk.decode())
+        text = chunk.decode()
+        if chunk.isalpha() and self.parting == "words":  # bytes: of ASCII letters
+            ids = self.word(text.lower())
+        elif chunk[:1] == b" " and chunk[1:].isalpha():
+            ids = self.word(text)
+        else:
+            ids = self.chunk(text)
+        self[chunk] = ids
         self.held += len(chunk) + len(ids)
         return ids
 
@@ -111,7 +118,7 @@ class Encoder(dict):
             if len(self) > MEMO_CHUNKS or self.held > MEMO_BYTES:
                 self.clear()
                 self.held = 0
-            if len(self.words) > MEMO_CHUNKS // 2:
+            if len(self.words) > MEMO_CHUNKS * 2 // 3:
                 self.words.clear()
             yield b"".join(map(self.__getitem__, part(text.encode())))
 
