@@ -24,6 +24,8 @@ MEMO_CHUNKS, MEMO_BYTES = 700_000, 96 << 20
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 OTHER_SPACE = SEPARATORS + "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SPACED = re.compile(rb"\s*+\S++|\s++")
+#: White space that isn't a single space or line break between words.
+EDGES, UNEVEN = (b"", b" ", b"\n"), (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c")
 #: A white-space character, letters that normalisation keeps as they are, and ASCII signs other than the apostrophe.
 PLAIN = re.compile(r"([ \n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\[-`{-~]*)")
 PACKS = [struct.Struct(f"<{n}I").pack for n in range(64)]
@@ -68,6 +70,7 @@ class Encoder(dict):
             self.parting = parting(json.load(f))
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
+        self.led = Led(self)
         self.held = 0
 
     def whole(self, text: str) -> bytes:
@@ -98,29 +101,56 @@ class Encoder(dict):
 
     def __missing__(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        if chunk.isalpha() and self.parting == "words":  # bytes: of ASCII letters
-            ids = self.word(text.lower())
-        elif chunk[:1] == b" " and chunk[1:].isalpha():
-            ids = self.word(text)
-        else:
-            ids = self.chunk(text)
-        self[chunk] = ids
+        ids = self[chunk] = self.word(text.lower()) if chunk.isalpha() and self.parting == "words" else self.chunk(text)  # isalpha of bytes: ASCII letters
         self.held += len(chunk) + len(ids)
         return ids
 
+    def bounded(self) -> None:
+        if len(self) + len(self.led) > MEMO_CHUNKS or self.held + self.led.held > MEMO_BYTES:
+            self.clear()
+            self.led.clear()
+            self.held = self.led.held = 0
+        if len(self.words) > MEMO_CHUNKS * 2 // 3:
+            self.words.clear()
+
+    def lines(self, data: bytes) -> list[bytes]:
+        """The ids of a text whose words are parted by single spaces or line breaks."""
+        parts: list[bytes] = []
+        for line in data.split(b"\n"):
+            words = line.split(b" ")
+            parts.append(self[words.pop(0)])
+            parts.extend(map(self.led.__getitem__, words))
+            parts.append(self[b"\n"])
+        return parts[:-1]
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text."""
-        part = {"words": bytes.split, "spaced": SPACED.findall}.get(self.parting)
         for text in texts:
-            if part is None or any(c in text for c in (SEPARATORS if text.isascii() else OTHER_SPACE)):
+            self.bounded()
+            if not self.parting or any(c in text for c in (SEPARATORS if text.isascii() else OTHER_SPACE)):
                 yield self.whole(text)
                 continue
-            if len(self) > MEMO_CHUNKS or self.held > MEMO_BYTES:
-                self.clear()
-                self.held = 0
-            if len(self.words) > MEMO_CHUNKS * 2 // 3:
-                self.words.clear()
-            yield b"".join(map(self.__getitem__, part(text.encode())))
+            data = text.encode()
+            if self.parting == "words":
+                yield b"".join(map(self.__getitem__, data.split()))
+            elif data[:1] in EDGES or data[-1:] in EDGES or any(s in data for s in UNEVEN):
+                yield b"".join(map(self.__getitem__, SPACED.findall(data)))
+            else:
+                yield b"".join(self.lines(data))
+
+
+class Led(dict):
+    """The ids of chunks that a space leads, by the chunk without it."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        super().__init__()
+        self.word, self.chunk, self.held = encoder.word, encoder.chunk, 0
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        text = " " + chunk.decode()
+        ids = self[chunk] = self.word(text) if chunk.isalpha() else self.chunk(text)
+        self.held += len(chunk) + len(ids)
+        return ids
 
 
 _ENCODERS: dict[str, Encoder] = {}
