@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from sketchloom.functions import search
 from sketchloom.functions.driver import duration_ns
-from sketchloom.operators import columns, heatmap, series
+from sketchloom.operators import columns, heatmap, layout, series
+from sketchloom.operators.kinds import kind
 
 
 def number(text: str | None, default: int | float) -> int | float:
@@ -75,6 +76,20 @@ def render_png(records: DataFrame, request: Request, colors: int = 256, kind_nam
     return heatmap.png(heatmap.raster(rows, request.width, request.height, colors))
 
 
+def render_graph(records: DataFrame, request: Request, colors: int = 256, kind_name: str = "exact") -> tuple[bytes, layout.Layout]:
+    """The whole graph as a PNG file, and its layout with the labels' texts. The width asked for is the picture's; a metric without records raises an error."""
+    own = records.where((F.col("metric") == request.metric) & (F.col("end_ns") < request.now_ns))
+    ranks = [k / 100 for k in range(101)]
+    newest = series.latest(own).select(kind(kind_name).quantiles(F.col("distribution"), ranks).alias("q")).collect()
+    if not newest:
+        raise ValueError("no records")
+    place = layout.layout(request.width, request.height, request.now_ns, request.span_ns, lambda q: float(np.interp(q, ranks, newest[0].q)), request.padding)
+    inner = replace(request, width=place.heatmap_width, height=place.heatmap_height)
+    cols = render_columns(records, inner, kind_name)
+    cells = heatmap.cells(cols, heatmap.scale_of(series.latest(own), kind_name), inner.height, colors).collect()  # at most width x height
+    return heatmap.png(layout.picture(place, [r.asDict() for r in cells], [r.asDict() for r in cols.select("x", "w", "obs_sec").collect()], colors)), place
+
+
 def query(records: DataFrame, params: dict[str, str]) -> list[str]:
     """Names that match `query`, `results` (10) at most."""
     found = search.search(records, params.get("query", ""), number(params.get("results"), 10))

@@ -30,9 +30,9 @@ def axis_unit_ns(span_ns: int, width: int) -> int:
 
 
 def axis_labels_ns(now_ns: int, span_ns: int, width: int) -> list[int]:
-    """Times of an axis' labels, ascending: multiples of its unit within the span."""
+    """Times of an axis' labels, ascending: multiples of its unit after the span's start."""
     unit = axis_unit_ns(span_ns, width)
-    first = -(-(now_ns - span_ns) // unit) * unit
+    first = ((now_ns - span_ns) // unit + 1) * unit
     return list(range(first, now_ns + 1, unit))
 
 

@@ -310,7 +310,7 @@ SELECT d.metric, d.x, CAST(y AS INTEGER) AS y, CAST(floor(len(list_filter(s.vs,
     "graphite_parse": "SELECT CASE WHEN event_id % 5 <> 0 THEN 'events.' || event_type ELSE '-' END AS metric, event_id % 5 = 0 AS bad, count(*) AS n, CAST(sum(CASE WHEN event_id % 5 <> 0 THEN event_id ELSE 0 END) AS DOUBLE) AS total FROM events GROUP BY ALL",
     "path_codec": f"WITH {_USERS} SELECT metric, replace(metric, '.', '/') AS path, metric AS back FROM names",
     "split_names": f"WITH {_USERS} SELECT metric, split_part(metric, '.', 1) AS head, substring(metric, strpos(metric, '.') + 1) AS tail FROM names",
-    "axis_labels": f"""WITH {_OBS}, {_records(HOUR)}, t AS (SELECT unnest(range(CAST(ceil({NOW - 2 * DAY} / {2 * HOUR}) AS BIGINT) * {2 * HOUR}, {NOW - DAY} + 1, {2 * HOUR})) AS end_ns)
+    "axis_labels": f"""WITH {_OBS}, {_records(HOUR)}, t AS (SELECT unnest(range(({NOW - 2 * DAY} // {2 * HOUR} + 1) * {2 * HOUR}, {NOW - DAY} + 1, {2 * HOUR})) AS end_ns)
 SELECT t.end_ns, strftime(make_timestamp(t.end_ns // 1000), '%-m/%-d @ %H:%M') AS label, count(r.metric) AS n FROM t LEFT JOIN rec r ON r.end_ns = t.end_ns GROUP BY ALL""",
     "fast_mod": "SELECT (((event_id * 2654435761) % 4294967296) * 10) >> 32 AS bucket, count(*) AS n FROM events GROUP BY ALL",
     "windowed_records": f"WITH {_OBS}, {_records(HOUR // 6)} SELECT metric, start_ns, end_ns, observations, mn AS min, mx AS max, min_id, max_id FROM rec",

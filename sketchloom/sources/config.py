@@ -16,19 +16,19 @@ duration = "10m"
 plugins = []
 
 [database.files]
-dir = "data"
+directory = "data"
 size = 256
 cap = 400
 files = 2
 
-[distribution.tdigest]
+[dist.tdigest]
 compression = 5.0
 
 [api]
 address = ":8080"
 origin = "*"
 
-[[listener.graphite]]
+[[listeners.graphite]]
 address = ":1111"
 """
 
@@ -58,16 +58,16 @@ def loads(text: str) -> Config:
     data = tomllib.loads(text)
     main = taken(data, "main", dict)
     only = {}
-    for what in ("database", "distribution"):
+    for what in ("database", "dist"):
         found = taken(data, what, dict)
         if len(found) != 1:
             raise ValueError(f"exactly one {what}, not {len(found)}")
         name = next(iter(found))
         only[what] = (name, taken(found, name, dict))
     listeners = []
-    for name, entries in taken(data, "listener", dict).items():
+    for name, entries in taken(data, "listeners", dict).items():
         listeners += [(name, e) for e in (entries if isinstance(entries, list) else [entries])]
-    return Config(duration_ns(taken(main, "duration", str, "10m")), only["database"], only["distribution"], listeners, taken(main, "plugins", list), taken(data, "api", dict))
+    return Config(duration_ns(taken(main, "duration", str, "10m")), only["database"], only["dist"], listeners, taken(main, "plugins", list), taken(data, "api", dict))
 
 
 def load(path: str | Path) -> Config:
@@ -82,10 +82,11 @@ def dumps(config: Config) -> str:
     """The configuration as TOML, which loads() reads back."""
     rows = lambda t: "".join(f"{k} = {_value(v)}\n" for k, v in t.items())
     out = f'[main]\nduration = "{config.duration_ns}ns"\nplugins = {_value(config.plugins)}\n'
-    for what, (name, entries) in (("database", config.database), ("distribution", config.distribution)):
+    for what, (name, entries) in (("database", config.database), ("dist", config.distribution)):
         out += f"\n[{what}.{name}]\n{rows(entries)}"
     if config.api:
-        out += f"\n[api]\n{rows(config.api)}"
+        out += f"\n[api]\n{rows({k: v for k, v in config.api.items() if not isinstance(v, dict)})}"
+        out += "".join(f"\n[api.{k}]\n{rows(v)}" for k, v in config.api.items() if isinstance(v, dict))
     for name, entries in config.listeners:
-        out += f"\n[[listener.{name}]]\n{rows(entries)}"
+        out += f"\n[[listeners.{name}]]\n{rows(entries)}"
     return out

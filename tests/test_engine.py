@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sketchloom import api
 from sketchloom.functions import driver, scalar, search
-from sketchloom.operators import columns, heatmap, kinds, records, series, tdigest
+from sketchloom.operators import columns, heatmap, kinds, layout, records, series, tdigest
 from sketchloom.sources import config, demo, graphite, paths
 
 OBS = "metric string, us long, value double, id long"
@@ -198,7 +198,7 @@ def test_durations_and_axis():
     assert driver.axis_unit_ns(24 * driver.HOUR, 1000) == 2 * driver.HOUR
     with pytest.raises(ValueError):
         driver.axis_unit_ns(1, 99)
-    assert len(driver.axis_labels_ns(24 * driver.HOUR, 24 * driver.HOUR, 1000)) == 13
+    assert len(driver.axis_labels_ns(24 * driver.HOUR, 24 * driver.HOUR, 1000)) == 12
 
 
 def test_generator_is_the_published_one():
@@ -209,10 +209,10 @@ def test_generator_is_the_published_one():
 def test_default_configuration():
     c = config.loads(config.DEFAULT)
     assert c.duration_ns == 600 * 10**9 and c.listeners == [("graphite", {"address": ":1111"})]
-    assert c.database == ("files", {"dir": "data", "size": 256, "cap": 400, "files": 2}) and c.distribution == ("tdigest", {"compression": 5.0})
+    assert c.database == ("files", {"directory": "data", "size": 256, "cap": 400, "files": 2}) and c.distribution == ("tdigest", {"compression": 5.0})
     assert config.loads(config.dumps(c)) == c
     with pytest.raises(ValueError):
-        config.loads("[database.a]\n[database.b]\n[distribution.x]")
+        config.loads("[database.a]\n[database.b]\n[dist.x]")
     with pytest.raises(TypeError):
         config.loads("main = 3")
 
@@ -225,15 +225,17 @@ def test_demo_has_six_series(spark):
 def test_rendering(spark):
     now = 10**15
     df = records.observe(demo.observations(spark, now // 1000, records=10, least=30), demo.DAY_US * 100)
-    request = api.Request.of({"metric": "normal.stable", "now": str(now), "duration": "24h", "width": "200", "height": "40", "samples": "x"})
+    request = api.Request.of({"metric": "normal.stable", "now": str(now), "duration": "24h", "width": "200", "height": "80", "samples": "x"})
     assert (request.samples, request.padding) == (30, 0)
     told = json.loads(api.render_json(df, request))
     assert told["columns"] and [c["X"] for c in told["columns"]] == sorted((c["X"] for c in told["columns"]), reverse=True)
     assert all(len(c["Data"]) == 31 and c["Data"] == sorted(c["Data"]) for c in told["columns"])
     image = api.render_png(df, request)
-    assert image[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", image[16:24]) == (200, 40)
+    assert image[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", image[16:24]) == (200, 80)
     at = image.index(b"IDAT") + 4
-    assert len(zlib.decompress(image[at : at + struct.unpack(">I", image[at - 8 : at - 4])[0]])) == 40 * (1 + 3 * 200)
+    assert len(zlib.decompress(image[at : at + struct.unpack(">I", image[at - 8 : at - 4])[0]])) == 80 * (1 + 3 * 200)
+    graph, place = api.render_graph(df, request)
+    assert struct.unpack(">II", graph[16:24]) == (200, 80) and place.heatmap_width == 200 - (13 + 24 + 15 + layout.axis_width(place.right))
     assert api.query(df, {"query": "exp.", "results": "2"}) == ["exp.decreasing", "exp.increasing"]
     with pytest.raises(ValueError):
         api.Request.of({})
@@ -246,6 +248,15 @@ def test_sketch_scales_give_cells_too(spark):
     assert cells and all(0 <= c.color <= 15 for c in cells) and len({c.y for c in cells}) == 9
 
 
+def test_layout_of_labels():
+    place = layout.layout(1000, 350, 48 * driver.HOUR, 24 * driver.HOUR, lambda q: 100 * q)
+    assert [x.text for x in place.left][:2] == ["1.00", "0.90"] and place.left[-1].text == "0.00"
+    assert place.right[0].text == "100." and place.right[-1].text == "0.00"
+    assert place.bottom[0].text == "1/2 @ 02:00" and place.bottom[-1].position == 1.0 and len(place.bottom) == 12
+    with pytest.raises(ValueError, match="too small"):
+        layout.layout(50, 350, 48 * driver.HOUR, 24 * driver.HOUR, float)
+
+
 def test_saturation_and_fast_mod(spark):
     r = spark.range(1).select(scalar.saturation(F.lit(0.0), F.lit(0.0)), scalar.saturation(F.lit(5.0), F.lit(5.0)), scalar.fast_mod(F.lit(2**32 - 1), 10), scalar.head_of(F.lit("a.b.c")), scalar.tail_of(F.lit("a.b.c")), scalar.tail_of(F.lit("a"))).first()
     assert tuple(r) == (255, 0, 9, "a", "b.c", "")

@@ -16,7 +16,9 @@ def test_stream_and_flush_equal_batch(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     observations(spark).write.parquet(source)
     stream = spark.readStream.schema("metric string, ts timestamp, value double, id long").parquet(source)
-    ingest.store(ingest.windowed(stream), out, str(tmp_path / "check")).awaitTermination(120)
+    measures = []
+    ingest.store(ingest.windowed(stream), out, str(tmp_path / "check"), told=measures.append).awaitTermination(120)
+    assert sum(m["metric_writes"] for m in measures) == ingest.stored(spark, out).count() and all(m["metric_skips"] == 0 for m in measures)
     before = ingest.stored(spark, out).count()
     ingest.flush(spark.read.parquet(source), out)
     whole = ingest.windowed(spark.read.parquet(source))
