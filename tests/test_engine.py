@@ -101,6 +101,16 @@ def test_retention_keeps_a_ring_of_files(spark):
     assert series.retained(df, 10, 0).count() == 1000
 
 
+def test_long_series_are_cut_without_a_difference(spark):
+    rng = random.Random(4)
+    rows = [(f"m{rng.randint(0, 2)}", k, rng.randint(0, 400) + k) for k in range(400)]
+    df = spark.createDataFrame(rows, "metric string, seq long, end_ns long")
+    assert sorted(series.accepted(df, chunk_rows=30).collect()) == sorted(series.accepted(df).collect())
+    ends = df.dropDuplicates(["metric", "end_ns"]).cache()
+    assert sorted(series.retained(ends, 7, 3, chunk_rows=25).collect()) == sorted(series.retained(ends, 7, 3).collect())
+    assert series.accepted(df.limit(0)).count() == series.retained(df.limit(0), 7, 3).count() == 0
+
+
 def test_lookback_has_one_record_more(spark):
     df = spark.createDataFrame([("m", e - 5, e) for e in (10, 20, 30, 40, 50)] + [("old", 0, 3)], "metric string, start_ns long, end_ns long")
     assert sorted(r.end_ns for r in series.lookback(df, 50, 20).collect()) == [3, 20, 30, 40]
