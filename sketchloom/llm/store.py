@@ -23,7 +23,18 @@ def put(store: fs.FileSystem, path: str, data: bytes) -> None:
     draft = f"{path}.{uuid.uuid4().hex}.draft"
     with store.open_output_stream(draft) as out:
         out.write(data)
-    store.move(draft, path)
+    settle(store, draft, path)
+
+
+def settle(store: fs.FileSystem, draft: str, path: str) -> None:
+    """Moves a draft into place; where a store doesn't move onto a file, one that an earlier try left makes room."""
+    try:
+        store.move(draft, path)
+    except OSError:
+        if not there(store, path):
+            raise
+        store.delete_file(path)
+        store.move(draft, path)
 
 
 def get(store: fs.FileSystem, path: str) -> bytes:

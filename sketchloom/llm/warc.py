@@ -287,7 +287,7 @@ class WarcWriter(DataSourceArrowWriter):
 
         def finish() -> None:
             out.close()
-            files.move(draft, name)
+            store.settle(files, draft, name)
             done.files.append(name)
 
         for batch in iterator:
