@@ -209,7 +209,7 @@ def axis_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.createDataFrame([(t,) for t in axis_labels_ns(NOW - DAY, DAY, 1000)], "end_ns long")
     hourly = records.observe(tables.events(spark, sf_dir), HOUR, None)
     found = labels.join(hourly, "end_ns", "left").groupBy("end_ns").agg(F.count("metric").alias("n"))
-    return found.select("end_ns", F.date_format(F.timestamp_micros(F.call_function("div", F.col("end_ns"), F.lit(1000).cast("long"))), "M/d @ HH:mm").alias("label"), "n")
+    return found.select("end_ns", F.date_format(F.expr("timestampadd(MICROSECOND, end_ns div 1000, TIMESTAMP_NTZ'1970-01-01 00:00:00')"), "M/d @ HH:mm").alias("label"), "n")
 
 
 def fast_mod(spark: SparkSession, sf_dir: str) -> DataFrame:
