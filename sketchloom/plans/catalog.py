@@ -313,5 +313,6 @@ SELECT d.metric, d.x, CAST(y AS INTEGER) AS y, CAST(floor(len(list_filter(s.vs,
     "axis_labels": f"""WITH {_OBS}, {_records(HOUR)}, t AS (SELECT unnest(range(({NOW - 2 * DAY} // {2 * HOUR} + 1) * {2 * HOUR}, {NOW - DAY} + 1, {2 * HOUR})) AS end_ns)
 SELECT t.end_ns, strftime(make_timestamp(t.end_ns // 1000), '%-m/%-d @ %H:%M') AS label, count(r.metric) AS n FROM t LEFT JOIN rec r ON r.end_ns = t.end_ns GROUP BY ALL""",
     "fast_mod": "SELECT (((event_id * 2654435761) % 4294967296) * 10) >> 32 AS bucket, count(*) AS n FROM events GROUP BY ALL",
+    "half_precision": "SELECT event_id AS id, CASE WHEN abs(value) >= 0.00006103515625 AND abs(value) < 65520 THEN round_even(value / pow(2, floor(log2(abs(value))) - 10), 0) * pow(2, floor(log2(abs(value))) - 10) ELSE value END AS half FROM events WHERE value IS NOT NULL",
     "windowed_records": f"WITH {_OBS}, {_records(HOUR // 6)} SELECT metric, start_ns, end_ns, observations, mn AS min, mx AS max, min_id, max_id FROM rec",
 }
