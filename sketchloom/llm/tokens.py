@@ -24,8 +24,8 @@ MEMO_CHUNKS, MEMO_BYTES = 700_000, 96 << 20
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 OTHER_SPACE = SEPARATORS + "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SPACED = re.compile(rb"\s*+\S++|\s++")
-#: White space that isn't a single space or line break between words.
-EDGES, UNEVEN = (b"", b" ", b"\n"), (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c")
+#: ASCII white space other than spaces and line breaks.
+OTHER_ASCII = (b"\t", b"\r", b"\x0b", b"\x0c")
 #: A white-space character, letters that normalisation keeps as they are, and ASCII signs other than the apostrophe.
 PLAIN = re.compile(r"([ \n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\[-`{-~]*)")
 PACKS = [struct.Struct(f"<{n}I").pack for n in range(64)]
@@ -100,6 +100,8 @@ class Encoder(dict):
         return self.word(space + letters) + self.word(signs) if signs else self.word(space + letters)
 
     def __missing__(self, chunk: bytes) -> bytes:
+        if not chunk:
+            raise KeyError(chunk)
         text = chunk.decode()
         ids = self[chunk] = self.word(text.lower()) if chunk.isalpha() and self.parting == "words" else self.chunk(text)  # isalpha of bytes: ASCII letters
         self.held += len(chunk) + len(ids)
@@ -114,7 +116,7 @@ class Encoder(dict):
             self.words.clear()
 
     def lines(self, data: bytes) -> list[bytes]:
-        """The ids of a text whose words are parted by single spaces or line breaks."""
+        """The ids of a text whose words are parted by single spaces or line breaks; another raises KeyError, for an empty word."""
         parts: list[bytes] = []
         for line in data.split(b"\n"):
             words = line.split(b" ")
@@ -133,10 +135,14 @@ class Encoder(dict):
             data = text.encode()
             if self.parting == "words":
                 yield b"".join(map(self.__getitem__, data.split()))
-            elif data[:1] in EDGES or data[-1:] in EDGES or any(s in data for s in UNEVEN):
-                yield b"".join(map(self.__getitem__, SPACED.findall(data)))
-            else:
-                yield b"".join(self.lines(data))
+                continue
+            try:
+                if any(s in data for s in OTHER_ASCII):
+                    raise KeyError
+                parts = self.lines(data)
+            except KeyError:
+                parts = map(self.__getitem__, SPACED.findall(data))
+            yield b"".join(parts)
 
 
 class Led(dict):
@@ -147,6 +153,8 @@ class Led(dict):
         self.word, self.chunk, self.held = encoder.word, encoder.chunk, 0
 
     def __missing__(self, chunk: bytes) -> bytes:
+        if not chunk:
+            raise KeyError(chunk)
         text = " " + chunk.decode()
         ids = self[chunk] = self.word(text) if chunk.isalpha() else self.chunk(text)
         self.held += len(chunk) + len(ids)
