@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from sketchloom.llm.common import written
 
 ORDER = 3
-#: Symbol 0 pads; 1 is white space; 2 digits; then ASCII in order, Latin letters in order, and 16 classes of other code points by their block.
+#: Symbol 0 pads; 1 is white space; 2 digits; then ASCII in order, Latin-1's letters in order, and 16 classes of other code points by their block.
 ASCII = [c for c in range(33, 127) if not 48 <= c <= 57]
-LATIN = list(range(0xC0, 0x180))
+LATIN = list(range(0xC0, 0x100))
 A = 3 + len(ASCII) + len(LATIN) + 16
 OTHER = "other"
 #: Characters folded at once.
@@ -45,7 +45,7 @@ BIN = 0.002
 
 
 def _folding() -> np.ndarray:
-    table = np.zeros(0x180, np.int64)
+    table = np.zeros(0x100, np.int64)
     table[:] = 1
     for k in range(48, 58):
         table[k] = 2
@@ -66,7 +66,7 @@ def folded(text: str | None) -> np.ndarray:
     points = np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32)
     if not len(points):
         return np.zeros(0, np.int64)
-    low = points < 0x180
+    low = points < 0x100
     symbols = np.where(low, FOLDING[np.where(low, points, 0)], A - 15 + (points >> 8) % 15)
     if len(symbols) > 1:
         symbols = symbols[np.append(True, (symbols[1:] != 1) | (symbols[:-1] != 1))]
