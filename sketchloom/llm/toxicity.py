@@ -138,22 +138,26 @@ def features(df: DataFrame, lexicon: dict[str, float], text: str) -> DataFrame:
     return df.select(*(F.col(f.name) for f in keep), F.col(text)).mapInArrow(extracted, schema)
 
 
-def learned_lexicon(sample: DataFrame, text: str, label: str, size: int = 500) -> dict[str, float]:
-    """Entries by their log odds in texts of label 1 against 0: the `size` that tell most, of those at least 4 times as frequent."""
+def entry_counts(sample: DataFrame) -> DataFrame:
+    """(entry, part, ones, zeros): in how many texts of each label an entry is, by part; sample has text, y and part."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: tuple[Counter, Counter] = (Counter(), Counter())
+        by: Counter = Counter()
         for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                by[y].update(text_entries(x.as_py()))
-        keys = list(by[0] | by[1])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([by[1][k] for k in keys], pa.int64()), pa.array([by[0][k] for k in keys], pa.int64())], names=["entry", "ones", "zeros"])
+            for x, y, part in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                by.update((e, part, y) for e in text_entries(x.as_py()))
+        keys = list({k[:2] for k in by})
+        columns = [[e for e, _ in keys], [p for _, p in keys], [by[(*k, 1)] for k in keys], [by[(*k, 0)] for k in keys]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["entry", "part", "ones", "zeros"])
 
-    totals = {r[label]: r["n"] for r in sample.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    ones, zeros = totals.get(1, 0), totals.get(0, 0)
+    return sample.select("text", "y", "part").mapInArrow(counted, "entry string, part long, ones long, zeros long")
+
+
+def learned_lexicon(counts: DataFrame, ones: int, zeros: int, size: int = 500) -> dict[str, float]:
+    """Entries by their log odds in `ones` texts of label 1 against `zeros` others: the `size` that tell most, of those at least 4 times as frequent."""
     if not ones or not zeros:
         return {}
-    counts = sample.select(text, label).mapInArrow(counted, "entry string, ones long, zeros long").groupBy("entry").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    counts = counts.groupBy("entry").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     odds = F.log((F.col("ones") + 0.5) / (ones + 1.0)) - F.log((F.col("zeros") + 0.5) / (zeros + 1.0))
     told = counts.where(F.col("ones") >= max(2, ones // 500)).withColumn("odds", odds).where(F.col("odds") >= math.log(4))
     rows = told.orderBy((F.col("ones") * F.col("odds")).desc(), "entry").limit(min(size, 4000)).collect()
@@ -189,14 +193,22 @@ def train(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
     chosen = clean.where("y = 1").orderBy("h", "id").limit(per_class).unionByName(clean.where("y = 0").orderBy("h", "id").limit(per_class))
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")  # 2 * per_class ids at most
     folds = FOLDS if min(totals.get(0, 0), totals.get(1, 0)) < FEW else 1
-    rows = written(rows.select("id", "text", "y", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(10 if folds == 1 else folds)).alias("part")))
+    rows = rows.select("id", "text", "y", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(10 if folds == 1 else folds)).alias("part"))
+    rows = written(rows.repartition(df.sparkSession.sparkContext.defaultParallelism, "id"))
+    many = {(r.part, r.y): r["n"] for r in rows.groupBy("part", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def lexicon_of(counts: DataFrame, parts: set[int]) -> dict[str, float]:
+        ones, zeros = (sum(n for (p, y), n in many.items() if p in parts and y == label) for label in (1, 0))
+        return learned_lexicon(counts.where(F.col("part").isin(*parts)), ones, zeros)
+
     if folds == 1:
-        lexicon = learned_lexicon(rows.where("part < 4"), "text", "y")
+        lexicon = lexicon_of(entry_counts(rows.where("part < 4")), {0, 1, 2, 3})
         found = features(rows.where("part >= 4").select("y", "part", "text"), lexicon, "text").collect()  # a row for each id, some with repeated rows
     else:  # each fold's features by a lexicon of the others
-        lexicon, found = learned_lexicon(rows, "text", "y"), []
+        counts, every = written(entry_counts(rows)), set(range(folds))
+        lexicon, found = lexicon_of(counts, every), []
         for k in range(folds):
-            found += features(rows.where(F.col("part") == k).select("y", "part", "text"), learned_lexicon(rows.where(F.col("part") != k), "text", "y"), "text").collect()
+            found += features(rows.where(F.col("part") == k).select("y", "part", "text"), lexicon_of(counts, every - {k}), "text").collect()
     y, part = np.array([r.y for r in found], float), np.array([r.part for r in found])
     if len(np.unique(y)) < 2:
         return Model(lexicon, None, None, share)
