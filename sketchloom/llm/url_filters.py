@@ -93,11 +93,12 @@ def strength(groups: DataFrame, default: float = 10.0, least: float = 1.0, most:
     return p, 1 / rho - 1
 
 
-def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
+def host_reputation(outcomes: DataFrame, z: float = 1.645, others: DataFrame | None = None) -> DataFrame:
     """Posterior of each host in `outcomes` (host string, good 0 or 1; other rows are left out).
 
     Returns host, outcomes, good, posterior mean, lower and upper bound. The bounds lie z
-    standard deviations of the beta posterior from its mean.
+    standard deviations of the beta posterior from its mean. A host of `others` (host string)
+    that has no outcomes has its prior: the mean of its domain, else of its suffix, else of all.
     """
     hosts = outcomes.where(F.col("host").isNotNull() & F.col("good").isin(0, 1)).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("good").cast("long")).alias("good"))
     hosts = written(hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "good"))
@@ -112,7 +113,10 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     domains = domains.join(suffixes, "suffix").select("domain", shrunk(F.col("suffix_mean"), k_domain).alias("domain_mean"))
     mean, size = F.col("mean"), F.col("n") + F.lit(k_host)
     deviation = F.sqrt(mean * (1 - mean) / (size + 1))
-    hosts = hosts.join(domains, "domain").withColumn("mean", shrunk(F.col("domain_mean"), k_host))
+    if others is not None:
+        new = others.select("host").distinct().join(hosts, "host", "left_anti")
+        hosts = hosts.unionByName(new.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("good")))
+    hosts = hosts.join(domains, "domain", "left").join(suffixes, "suffix", "left").withColumn("mean", shrunk(F.coalesce("domain_mean", "suffix_mean", F.lit(p)), k_host))
     return hosts.select("host", F.col("n").alias("outcomes"), "good", "mean", F.greatest(F.lit(0.0), mean - F.lit(z) * deviation).alias("lower"), F.least(F.lit(1.0), mean + F.lit(z) * deviation).alias("upper"))
 
 
@@ -131,11 +135,11 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], url: s
     outcomes: url and good (0 or 1), one row for each labelled page. A row stands for itself:
     repeated pages are all judged, repeated outcomes all count. A null url, or one without ://,
     has an empty host and path; the empty host has a reputation like any other. A host without
-    outcomes is not blocked. Columns of `pages` that have the names of new columns are replaced.
+    outcomes is judged by its domain's or suffix's. Columns of `pages` that have the names of new columns are replaced.
     """
     mine = ("host", "path", "rule", "verdict", "outcomes", "good", "mean", "lower", "upper")
     pages = pages.select(*(c for c in pages.columns if c not in mine or c == url), host_of(F.col(url)).alias("__host"), path_of(F.col(url)).alias("__path"))
-    reputation = host_reputation(outcomes.select(host_of(F.col("url")).alias("host"), "good"), z)
+    reputation = host_reputation(outcomes.select(host_of(F.col("url")).alias("host"), "good"), z, pages.select(F.col("__host").alias("host")))
     reputation = reputation.select(*(F.col(c).alias(f"__{c}") for c in reputation.columns if c != "host"), F.col("host").alias("__of"))
     judged = pages.join(reputation, F.col("__host") == F.col("__of"), "left")
     rule, ruled = fitting_rule(F.col("__host"), F.col("__path"), rules)

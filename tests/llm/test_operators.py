@@ -418,6 +418,15 @@ def test_reputation_shrinks_towards_domain_and_blocks_the_surely_bad(spark):
     assert [tuple(x) for x in r] == [("b.co.uk", "co.uk"), ("x.com", "com"), ("10.0.0.1", ""), ("", "")]
 
 
+def test_hosts_without_outcomes_have_the_prior_of_their_domain_or_suffix(spark):
+    rows = [(f"http://bad{k}.evil.net/{i}", 0) for k in range(9) for i in range(40)] + [(f"http://h{k}.fine.net/{i}", 1) for k in range(9) for i in range(40)] + [(f"http://w{k}.d{k}.zip/{i}", 0) for k in range(9) for i in range(40)] + [(f"http://w{k}.d{k}.org/{i}", 1) for k in range(9) for i in range(40)]
+    pages = spark.createDataFrame([("http://fresh.evil.net/",), ("http://fresh.fine.net/",), ("http://a.fresh.zip/",), ("http://a.fresh.org/",), ("http://a.fresh.xyz/",), ("http://a.fresh.xyz/",)], "url string")
+    found = url_filters.filter_urls(pages, spark.createDataFrame(rows, "url string, good int"), []).collect()
+    assert {r.host: r.verdict for r in found} == {"fresh.evil.net": "block", "fresh.fine.net": "allow", "a.fresh.zip": "block", "a.fresh.org": "allow", "a.fresh.xyz": "allow"}
+    assert len(found) == 6 and all(r.outcomes == 0 and r.good == 0 and r.lower <= r.mean <= r.upper for r in found)
+    assert {r.host: r.mean for r in found}["a.fresh.xyz"] == pytest.approx(0.5)
+
+
 def test_url_query_is_native(spark):
     df = catalog.QUERIES["op10_url_filters"](spark, SF)
     assert df.count() == table(spark, SF, "pages").count()
