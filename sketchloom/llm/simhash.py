@@ -19,7 +19,7 @@ away, in space linear in the bucket; only a spanning forest of the links leaves
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, islice
 
 import numpy as np
@@ -339,7 +339,11 @@ def deduplicate(df: DataFrame, id_column: str = "doc_id", text: str = "text", sh
     Ids that are null or repeat don't tell rows apart; then the row is told by its fingerprint
     too, which is computed once more, and the smallest id (nulls last) and fingerprint stay, once.
     """
-    found = written(near_duplicates(df, id_column, text, shingle, radius))
+    return first_rows(df, written(near_duplicates(df, id_column, text, shingle, radius)), lambda: with_fingerprints(df, text, shingle), id_column)
+
+
+def first_rows(df: DataFrame, found: DataFrame, hashed: Callable[[], DataFrame], id_column: str) -> DataFrame:
+    """The first row of each component in `found` (a table as of near_duplicates); hashed: df with `__fp`."""
     own = F.col(id_column)
     told = found.agg(F.count(F.lit(1)).alias("n"), F.count(own).alias("ids")).first()
     repeated = found.groupBy(own).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
@@ -349,8 +353,7 @@ def deduplicate(df: DataFrame, id_column: str = "doc_id", text: str = "text", sh
     first = found.groupBy("component").agg(F.min(F.struct(own.isNull().alias("null"), own.alias("id"), "fp")).alias("first"))
     first = first.select(F.col("first.id").alias("__first_id"), F.col("first.fp").alias("__first_fp"))
     fields = df.schema.fields
-    hashed = with_fingerprints(df, text, shingle)
-    kept = hashed.join(first, F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col("__first_id")) & (F.col("__fp") == F.col("__first_fp")), "left_semi")
+    kept = hashed().join(first, F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col("__first_id")) & (F.col("__fp") == F.col("__first_fp")), "left_semi")
     return kept.dropDuplicates([id_column, "__fp"]).select(*(F.col(f"`{f.name}`") for f in fields))
 
 
