@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,11 @@ NAMES = ("log_words", "lexicon", "strong", "weight", "distinct", "hits", "disgui
 LETTERS = re.compile(r"[^\W\d_]+")
 BETWEEN = re.compile(r"[^\W\d_][0-9@$!|+€*.\-_]+[^\W\d_]")
 REPEATS = re.compile(r"(.)\1{2,}")
-MEMO = 300_000
+#: Runs of what BETWEEN may join, with what stands around them; and what joins words in them.
+PIECES = re.compile(r"[^\w@$!|+€*.\-]*[\w@$!|+€*.\-]+(?:[^\w@$!|+€*.\-]+(?![\w@$!|+€*.\-]))?")
+JOINED = re.compile(r"[.\-_]+")
+#: Chunks are remembered, so many of at most so many bytes.
+MEMO, LONG = 300_000, 200
 #: Bits of a chunk's description, above the 12 bits of its lexicon entry plus 1.
 SECOND, CAPITAL, SHOUT, EXCLAIM, PUNCTUATION, DIGIT, DISGUISE, DISGUISED_HIT = (1 << (12 + k) for k in range(8))
 
@@ -59,53 +64,84 @@ class Extractor:
 
     def __post_init__(self) -> None:
         self.index = {e: k + 1 for k, e in enumerate(self.lexicon)}
+        self.starts = {e.rstrip("*")[:4] for e in self.lexicon}  # no STEMS is shorter
         self.weights = np.array([0.0, *self.lexicon.values()])
         self.strong = max(self.weights.max() * 0.6, 1e-9)
-        self.memo: dict[bytes, int] = {}
+        self.memo: dict[bytes, tuple[int, ...]] = {}
+        self.same: dict[tuple[int, ...], tuple[int, ...]] = {}  # one tuple for all chunks with these codes
 
     def entry(self, word: str) -> int:
+        if word[:4] not in self.starts:
+            return 0
         found = [self.index[e] for e in entries_of(word) if e in self.index]
         return max(found, key=lambda k: self.weights[k], default=0)
 
-    def described(self, chunk: bytes) -> int:
-        """The lexicon entry of largest weight and the traits of what stands between white space."""
+    def described(self, chunk: bytes) -> tuple[int, ...]:
+        """For each word of what stands between white space, its lexicon entry and traits; a disguised word, and signs alone, have one code."""
         text = chunk.decode("utf-8", "replace")
-        low = text.lower()
-        words = LETTERS.findall(low) if len(low) < 4000 else []
-        code = max((self.entry(w) for w in words), key=lambda k: self.weights[k], default=0)
-        traits = 0
-        if any(w in SECOND_PERSON for w in words):
-            traits |= SECOND
+        if text.isalpha():
+            return tuple(self.piece(text))
+        return tuple(code for piece in map(str.strip, PIECES.findall(text) or [text]) if piece for code in self.piece(piece))
+
+    @staticmethod
+    def traits(text: str, words: list[str]) -> int:
+        code = 0 if SECOND_PERSON.isdisjoint(words) else SECOND
         if text[:1].isupper():
-            traits |= CAPITAL
+            code |= CAPITAL
         if text.isupper() and sum(map(len, words)) > 1:
-            traits |= SHOUT
+            code |= SHOUT
+        if text.isalpha():
+            return code
         if "!" in text:
-            traits |= EXCLAIM
-        if any(not c.isalnum() for c in text):
-            traits |= PUNCTUATION
-        if any(c.isdigit() for c in text):
-            traits |= DIGIT
-        odd = BETWEEN.search(low[:200]) is not None or REPEATS.search(low[:200]) is not None
-        if odd:
-            traits |= DISGUISE
-            if not code:
-                plain = low[:200].strip(".,;:?!\"'()").translate(DISGUISES)
-                for form in (re.sub(r"[^\w]|_", "", plain), REPEATS.sub(r"\1", plain), REPEATS.sub(r"\1\1", plain)):
-                    if hit := self.entry(form):
-                        code, traits = hit, traits | DISGUISED_HIT
-                        break
-        return code | traits
+            code |= EXCLAIM
+        if not text.isalnum():
+            code |= PUNCTUATION
+        if any(map(str.isdigit, text)):
+            code |= DIGIT
+        return code
+
+    def disguised(self, low: str) -> int:
+        plain = low.strip(".,;:?!\"'()").translate(DISGUISES)
+        for form in (re.sub(r"[^\w]|_", "", plain), REPEATS.sub(r"\1", plain), REPEATS.sub(r"\1\1", plain)):
+            if hit := self.entry(form):
+                return hit
+        return 0
+
+    def piece(self, text: str) -> list[int]:
+        """The codes of a run of letters, digits and signs that may stand for letters or join words."""
+        low = text.lower()
+        plain = text.isalpha()
+        words = LETTERS.findall(low)
+        odd = (not plain and BETWEEN.search(low) is not None) or REPEATS.search(low) is not None
+        hits = [k for w in words if (k := self.entry(w))]
+        if odd and not hits and (hit := self.disguised(low)):
+            return [hit | self.traits(text, words) | DISGUISE | DISGUISED_HIT]
+        if len(words) > 1 and not plain:
+            parts = [p for p in JOINED.split(text) if p]
+            if sum(LETTERS.search(p) is not None for p in parts) > 1:
+                codes = [code | PUNCTUATION for part in parts for code in self.piece(part)]
+                return [codes[0] | DISGUISE * odd, *codes[1:]]
+        code = self.traits(text, words) | DISGUISE * odd
+        if len(hits) < 2:
+            return [code | sum(hits)]
+        return [self.entry(w.lower()) | self.traits(w, [w.lower()]) | code & ~SECOND & ~CAPITAL & ~SHOUT for w in LETTERS.findall(text)]
 
     def codes(self, text: str | None) -> np.ndarray:
         chunks = (text or "").encode("utf-8", "replace").split()
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
+            self.same.clear()
+        long = {}
         for chunk in set(chunks):
             if chunk not in memo:
-                memo[chunk] = self.described(chunk)
-        return np.fromiter(map(memo.__getitem__, chunks), np.int64, len(chunks))
+                found = self.described(chunk)
+                if len(chunk) <= LONG:
+                    memo[chunk] = self.same.setdefault(found, found)
+                else:
+                    long[chunk] = found
+        found = chain.from_iterable(map(memo.__getitem__, chunks) if not long else (memo.get(c) or long[c] for c in chunks))
+        return np.fromiter(found, np.int64)
 
     def __call__(self, text: str | None) -> list[float]:
         codes = self.codes(text)

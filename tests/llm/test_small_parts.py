@@ -230,6 +230,16 @@ def test_toxic_features():
     assert len(extract(None)) == len(extract("")) == len(extract("x" * 100_000)) == len(toxicity.NAMES)
 
 
+@pytest.mark.parametrize("joint", [",", "\xa0", "\u3000", "\u2028", "_", "-"])
+def test_toxic_features_of_words_joined_otherwise(joint):
+    extract = toxicity.Extractor({"idiot": 3.0, "lowei*": 2.0})
+    words = "you utter idiot what a lovely 1d10t loweichen".split() * 200
+    at, spaced = (dict(zip(toxicity.NAMES, extract(j.join(words)), strict=True)) for j in (joint, " "))
+    assert spaced["hits"] == 600 and spaced["disguised_hits"] == 200
+    for name in ("log_words", "lexicon", "strong", "weight", "hits", "disguised_hits", "second_person", "near", "digits"):
+        assert at[name] == spaced[name]
+
+
 def word_statistics(text):
     w = re.findall("[^\x20\x09-\x0d]+", text)
     seen, twice = set(), 0
