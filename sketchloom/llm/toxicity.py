@@ -3,10 +3,9 @@
 Features: densities of a lexicon's words and stems, how near they are to words of the second
 person, rates of capitals, punctuation and obfuscated words, and the length. The lexicon is
 learned: words and word beginnings that are far more frequent in toxic texts. Lexicon, trees
-and calibration are fitted on separate parts of a sample of labelled rows, at most
-`per_class` of each label, chosen by a hash of the id; weights restore the labels' shares.
-With fewer than FEW rows of a label, all rows serve all three, each fold with what the other
-folds have taught.
+and calibration are fitted on a sample of labelled rows, at most `per_class` of each label,
+chosen by a hash of the id; weights restore the labels' shares. All rows serve all three, each
+fold with what the other folds have taught.
 Scoring runs over whole texts of all rows in one pass without a shuffle.
 """
 
@@ -33,7 +32,7 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine d
 DISGUISES = str.maketrans("0134578@$!|+€", "oieastbasilte")
 STEMS = (4, 5, 6, 7)
 NEAR = 5
-FEW, FOLDS = 400, 5
+FOLDS = 5
 NAMES = ("log_words", "lexicon", "strong", "weight", "distinct", "hits", "disguised_hits", "disguised", "second_person", "near", "capitals", "shouted", "exclamations", "punctuation", "digits", "letters")
 LETTERS = re.compile(r"[^\W\d_]+")
 BETWEEN = re.compile(r"[^\W\d_][0-9@$!|+€*.\-_]+[^\W\d_]")
@@ -228,8 +227,7 @@ def train(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     chosen = clean.where("y = 1").orderBy("h", "id").limit(per_class).unionByName(clean.where("y = 0").orderBy("h", "id").limit(per_class))
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")  # 2 * per_class ids at most
-    folds = FOLDS if min(totals.get(0, 0), totals.get(1, 0)) < FEW else 1
-    rows = rows.select("id", "text", "y", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(10 if folds == 1 else folds)).alias("part"))
+    rows = rows.select("id", "text", "y", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(FOLDS)).alias("part"))
     rows = written(rows.repartition(df.sparkSession.sparkContext.defaultParallelism, "id"))
     many = {(r.part, r.y): r["n"] for r in rows.groupBy("part", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
 
@@ -237,30 +235,21 @@ def train(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
         ones, zeros = (sum(n for (p, y), n in many.items() if p in parts and y == label) for label in (1, 0))
         return learned_lexicon(counts.where(F.col("part").isin(*parts)), ones, zeros)
 
-    if folds == 1:
-        lexicon = lexicon_of(entry_counts(rows.where("part < 4")), {0, 1, 2, 3})
-        found = features(rows.where("part >= 4").select("y", "part", "text"), lexicon, "text").collect()  # a row for each id, some with repeated rows
-    else:  # each fold's features by a lexicon of the others
-        counts, every = written(entry_counts(rows)), set(range(folds))
-        lexicon, found = lexicon_of(counts, every), []
-        for k in range(folds):
-            found += features(rows.where(F.col("part") == k).select("y", "part", "text"), lexicon_of(counts, every - {k}), "text").collect()
+    counts, every = written(entry_counts(rows)), set(range(FOLDS))
+    lexicon, found = lexicon_of(counts, every), []
+    for k in range(FOLDS):  # each fold's features by a lexicon of the others
+        found += features(rows.where(F.col("part") == k).select("y", "part", "text"), lexicon_of(counts, every - {k}), "text").collect()  # a row for each id, some with repeated rows
     y, part = np.array([r.y for r in found], float), np.array([r.part for r in found])
     if len(np.unique(y)) < 2:
         return Model(lexicon, None, None, share)
     x = np.array([r.features for r in found])
     weight = np.where(y == 1, totals[1] / y.sum(), totals[0] / (1 - y).sum())
-    held = part >= 8 if folds == 1 else np.ones(len(y), bool)
-    if len(np.unique(y[held])) < 2 or len(np.unique(y[part < 8])) < 2:
-        held[:] = True
-    fit = part < 8 if folds == 1 and not held.all() else np.ones(len(y), bool)
-    model = boosting.fit(x[fit], y[fit], trees=trees)
+    model = boosting.fit(x, y, trees=trees)
     odds = model(x)
-    if folds > 1:
-        for k in range(folds):
-            if len(np.unique(y[part != k])) == 2:
-                odds[part == k] = boosting.fit(x[part != k], y[part != k], trees=trees)(x[part == k])
-    return Model(lexicon, model, boosting.isotonic(odds[held], y[held], weight[held]), share)
+    for k in range(FOLDS):
+        if len(np.unique(y[part != k])) == 2:
+            odds[part == k] = boosting.fit(x[part != k], y[part != k], trees=trees)(x[part == k])
+    return Model(lexicon, model, boosting.isotonic(odds, y, weight), share)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:

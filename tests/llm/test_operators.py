@@ -452,3 +452,12 @@ def test_pipeline_stages(spark):
         if k == 3:
             assert {r.doc_id for r in out.collect()} == {r.doc_id for r in left.select("doc_id").collect()}
         left = out
+
+
+def test_toxicity_learns_its_lexicon_from_all_labels(spark):
+    letters = "bcdfghjklmnpqrst"
+    rare = [f"x{a}{b}z" for a in letters for b in letters][:210]
+    rows = [(k, f"{rare[k % 210]} said the cat", 1) for k in range(420)] + [(420 + k, "thus said the cat", 0) for k in range(420)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df, df.select("doc_id", "toxic"), trees=5)
+    assert set(rare) <= set(model.lexicon)
