@@ -198,22 +198,6 @@ def test_toxicity_of_odd_rows(spark, odd, none):
 # quality rules
 
 
-def test_quality_query_against_brute_force(spark, docs):
-    found = {r.doc_id: r for r in catalog.QUERIES["op6_quality_rules"](spark, SF).collect()}
-    for key, text in docs:
-        w = re.findall("[^\x20\x09-\x0d]+", text or "")
-        r = found[key]
-        assert (r.n_words, r.word_chars) == (len(w), sum(map(len, w)))
-        assert r.base_failed == (len(w) < 50 or 100 * r.n_repeat_words > 50 * len(w)) and not (r.kept and r.base_failed)
-    good = table(spark, SF, "labels").where("quality = 1").select("doc_id").collect()
-    assert np.mean([found[g.doc_id].kept or found[g.doc_id].base_failed for g in good]) > 0.9
-
-
-def test_quality_counts_are_the_corpus(spark, docs):
-    counts = quality.count_grams(table(spark, SF, "documents"), "text", "lang", ("en",)).toPandas()
-    assert counts["n"].sum() == sum(len(quality.grams(quality.folded(t))) for _, t in docs) and set(counts["lang"]) == {"en", "other"}
-
-
 def test_quality_of_odd_rows(spark, odd, none):
     told = quality.assess(odd).collect()
     assert len(told) == len(ODD) and sum(r.base_failed for r in told) == len(ODD)  # short, or repetitive

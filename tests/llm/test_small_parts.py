@@ -259,23 +259,6 @@ def test_word_statistics(text):
     assert quality.statistics(None) == (0, 0, 0, 0, 0)
 
 
-def test_kneser_ney_is_a_distribution_and_prefers_what_it_has_seen():
-    text = "the cat and the hat and the other cat " * 5
-    codes, n = np.unique(quality.grams(quality.folded(text)), return_counts=True)
-    model = quality.KneserNey(codes, n)
-    for context in ("th", "zz", "e "):
-        c = quality.folded(context)[quality.ORDER - 1 :]
-        every = (c[-2] * quality.A + c[-1]) * quality.A + np.arange(quality.A)
-        assert np.exp(model.logp(every)).sum() == pytest.approx(1, abs=1e-4)
-    score = lambda t: model.logp(quality.grams(quality.folded(t))).mean()
-    assert score("the hat") > score("xq#jz") and len(quality.folded("")) == 0
-
-
-def test_bits_of_folding_stay_in_the_alphabet():
-    every = quality.folded("".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x11000)])))
-    assert every.min() >= 0 and every.max() < quality.A
-
-
 def test_classes_part_the_words():
     counts = np.array([1000, 400, 400, 50, 50, 7, 1, 1, 1, 1])
     bins = lm_scoring.count_bins(counts)
