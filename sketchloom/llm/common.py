@@ -44,6 +44,19 @@ def id_remainder_column(column: str | Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df under names that clash with none of an operator's, and those names by its own; toDF(*df.columns) gives these back."""
+    names = {c: f"c{k}" for k, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A name like `name` that no column of df has."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir, which all executors share.
 
@@ -65,3 +78,17 @@ def written(df: DataFrame, folder: str | None = None, rows_a_file: int = 0) -> D
     folder = folder or shared_folder(spark)
     df.write.options(compression="zstd", maxRecordsPerFile=rows_a_file).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def join_spread(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", n: str = "n", share: int = 1000) -> DataFrame:
+    """rows joined to `few` by key, which has one row a key (a written table) and in n how many of `rows` have it; n is dropped.
+
+    A key with more than one in `share` of the rows counted is dealt to as many more tasks.
+    There are fewer than `share` such keys, so that they may be sent to all tasks.
+    """
+    total = few.agg(F.sum(n)).first()[0] or 1
+    few = few.withColumn("__salts", F.ceil(F.col(n) * F.lit(share) / F.lit(total))).drop(n)
+    hot = few.where("__salts > 1").select(key, F.col("__salts").alias("__most"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("__most", F.lit(1)))).drop("__most")
+    few = few.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts") - 1))).drop("__salts")
+    return dealt.join(few, [key, "__salt"], how).drop("__salt")
