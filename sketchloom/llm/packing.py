@@ -141,24 +141,28 @@ def pieces(df: DataFrame, tokenizer: str, end: int = 0, capacity: int = 2048, id
     return df.select(F.col(f"`{id_column}`").cast("long"), F.col(f"`{text}`")).mapInArrow(cut, schema)
 
 
-def place(cut: DataFrame, capacity: int = 2048, id_column: str = "doc_id") -> DataFrame:
-    """`cut` (rows with length from 1 to capacity, piece and ids_crc32) with sequence_id and offset.
+def with_salts(cut: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """cut (with `__row`) with `__salt`: a group of about RANKED rows of a length."""
+    salts = cut.sparkSession.createDataFrame([(k, -(-n // RANKED)) for k, n in counts.items()] or [(1, 1)], "length long, __salts long")
+    return cut.join(F.broadcast(salts), "length").withColumn("__salt", F.pmod(F.xxhash64("__row"), "__salts")).drop("__salts")  # a row for each length
 
-    Rows that repeat are placed each on its own; rows equal in id, piece and checksum are alike, so that their order doesn't matter.
+
+def place(cut: DataFrame, capacity: int = 2048) -> DataFrame:
+    """`cut` (rows with length from 1 to capacity) with sequence_id and offset.
+
+    Rows that repeat are placed each on its own: a row is told by its place in the written table, which also salts the ranks.
     """
-    spark = cut.sparkSession
-    cut = written(cut)
+    spark, names = cut.sparkSession, cut.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields) + ", sequence_id long, offset long"
+    cut = written(cut.withColumn("__row", F.monotonically_increasing_id()))
     counts = {r.length: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     made = spark.sparkContext.broadcast(plan(counts, capacity))
-    salts = spark.createDataFrame([(k, -(-n // RANKED)) for k, n in counts.items()] or [(1, 1)], "length long, __salts long")
-    salted = cut.join(F.broadcast(salts), "length").withColumn("__salt", F.pmod(F.xxhash64(id_column, "piece", "ids_crc32"), "__salts"))
+    salted = with_salts(cut, counts)
     before = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("n"))
     before = before.select("length", "__salt", (F.sum("n").over(Window.partitionBy("length").orderBy("__salt")) - F.col("n")).alias("__before"))
-    ranked = salted.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__salt").orderBy(id_column, "piece", "ids_crc32")) - 1)
-    ranked = ranked.join(before, ["length", "__salt"]).select(*cut.columns, (F.col("__rank") + F.col("__before")).alias("__rank"))
-    names = cut.columns
+    ranked = salted.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__salt").orderBy("__row")) - 1)
+    ranked = ranked.join(before, ["length", "__salt"]).select(*names, (F.col("__rank") + F.col("__before")).alias("__rank"))
     at, by = len(names), names.index("length")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields) + ", sequence_id long, offset long"
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +179,7 @@ def pack(df: DataFrame, tokenizer: str, end: int = 0, capacity: int = 2048, id_c
     sequence_id and offset; offsets in a sequence run from 0 without gaps. Null ids and
     repeated rows are packed like others; an empty table gives no rows.
     """
-    return place(pieces(df, tokenizer, end, capacity, id_column, text, keep_ids), capacity, id_column)
+    return place(pieces(df, tokenizer, end, capacity, id_column, text, keep_ids), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
