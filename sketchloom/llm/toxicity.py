@@ -52,7 +52,7 @@ def entries_of(word: str) -> list[str]:
 
 
 def text_entries(text: str | None) -> set[str]:
-    return {e for w in set(LETTERS.findall((text or "").lower())) if len(w) < 40 for e in entries_of(w)}
+    return {e for w in set(LETTERS.findall((text or "").lower())) for e in entries_of(w)}
 
 
 @dataclass
@@ -218,7 +218,8 @@ def train(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
     """A model from `labels` (id, label 0 or 1) of rows of df.
 
     At most `per_class` labelled ids of each label are used, those whose hash is smallest.
-    Null ids and other labels are left out; an id labelled both ways counts as 1. Without
+    Null ids and other labels are left out; an id labelled both ways counts as 1, and of an id
+    that repeats in df the text that is first in order is learned from. Without
     rows of both labels the score is the share of label 1 among the labels (0 without any).
     """
     clean = labels.where(F.col(label).isin(0, 1) & F.col(id_column).isNotNull()).groupBy(F.col(id_column).cast("long").alias("id")).agg(F.max(label).cast("int").alias("y"))
@@ -228,6 +229,7 @@ def train(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
     chosen = clean.where("y = 1").orderBy("h", "id").limit(per_class).unionByName(clean.where("y = 0").orderBy("h", "id").limit(per_class))
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")  # 2 * per_class ids at most
     rows = rows.select("id", "text", "y", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(FOLDS)).alias("part"))
+    rows = rows.groupBy("id", "y", "part").agg(F.min("text").alias("text"))  # so that no id has more than its share
     rows = written(rows.repartition(df.sparkSession.sparkContext.defaultParallelism, "id"))
     many = {(r.part, r.y): r["n"] for r in rows.groupBy("part", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
 
@@ -238,7 +240,7 @@ def train(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
     counts, every = written(entry_counts(rows)), set(range(FOLDS))
     lexicon, found = lexicon_of(counts, every), []
     for k in range(FOLDS):  # each fold's features by a lexicon of the others
-        found += features(rows.where(F.col("part") == k).select("y", "part", "text"), lexicon_of(counts, every - {k}), "text").collect()  # a row for each id, some with repeated rows
+        found += features(rows.where(F.col("part") == k).select("y", "part", "text"), lexicon_of(counts, every - {k}), "text").collect()  # a row for each id: 2 * per_class at most
     y, part = np.array([r.y for r in found], float), np.array([r.part for r in found])
     if len(np.unique(y)) < 2:
         return Model(lexicon, None, None, share)
