@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.llm.common import written
+from sketchloom.llm.common import join_spread, written
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,7 +13,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternating large-star and small-star: each node's neighbours are told the smallest of
     them, until nothing changes; a round shortens paths by about half. Groups are only
-    aggregated (min), never gathered, so a node with very many links is no burden; each round
+    aggregated (min), never gathered, and the links of a node that has very many are dealt to
+    many tasks to be told; each round
     is a table in the shared folder, which cuts lineage and survives lost executors. Null
     ends and loops are left out; no links give no rows.
     """
@@ -21,12 +22,13 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
         # large star: the larger neighbours of u are linked to the smallest node of u's star
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_spread(both.where(F.col("v") > F.col("u")), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: u and its smaller neighbours are linked to the smallest of these
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        large = written(large)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = join_spread(large, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = written(small)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == before or not now.n:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.llm.common import LOWER_BYTES, words, written
+from sketchloom.llm.common import LOWER_BYTES, join_spread, plain_names, words, written
 from sketchloom.llm.components import connected_components
 
 BITS = 64
@@ -324,13 +324,13 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     Other columns of df are not kept.
     """
     rows = written(fingerprints(df.select(F.col(f"`{id_column}`").cast("long").alias("__id"), F.col(f"`{text}`").alias("__text")), "__text", shingle, seed))
-    groups = written(rows.groupBy("fp").agg(F.min("__id").alias("least")))
+    groups = written(rows.groupBy("fp").agg(F.min("__id").alias("least"), F.count(F.lit(1)).alias("n")))
     links = near_links(groups, radius, parts, bucket_rows)
     members = connected_components(links)  # of fingerprints
-    least = written(groups.join(members.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "least"))
+    least = written(groups.join(members.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "least", "n"))
     smallest = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = least.join(smallest, "component").select("fp", "component_id", "component")
-    return rows.join(named, "fp").select(F.col("__id").alias(id_column), "fp", "component_id", "component")
+    named = written(least.join(smallest, "component").select("fp", "component_id", "component", "n"))
+    return join_spread(rows, named, "fp").select(F.col("__id").alias(id_column), "fp", "component_id", "component")
 
 
 def deduplicate(df: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -339,7 +339,9 @@ def deduplicate(df: DataFrame, id_column: str = "doc_id", text: str = "text", sh
     Ids that are null or repeat don't tell rows apart; then the row is told by its fingerprint
     too, which is computed once more, and the smallest id (nulls last) and fingerprint stay, once.
     """
-    return first_rows(df, written(near_duplicates(df, id_column, text, shingle, radius)), lambda: with_fingerprints(df, text, shingle), id_column)
+    plain, at = plain_names(df)
+    found = written(near_duplicates(plain, at[id_column], at[text], shingle, radius))
+    return first_rows(plain, found, lambda: with_fingerprints(plain, at[text], shingle), at[id_column]).toDF(*df.columns)
 
 
 def first_rows(df: DataFrame, found: DataFrame, hashed: Callable[[], DataFrame], id_column: str) -> DataFrame:
