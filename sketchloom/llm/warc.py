@@ -6,10 +6,11 @@ into the scan: a record's headers are parsed first, and the block of an unwanted
 neither decompressed nor read where its length is known (the `sl` extra field of the gzip
 member, or Content-Length in a file that isn't compressed). With option payload=false no
 block is decoded. With verify=true (the default) a decoded payload must have its header's
-length and digest.
+length and digest; digests of algorithms that hashlib doesn't have are taken as they are.
 
-Writing: a partition writes files of about `file_bytes`, one gzip member a record, each file
-moved into place when whole, named after the partition: a repeated task writes the same names.
+Writing: a task writes drafts of about `file_bytes`, one gzip member a record. Only the drafts of
+the tasks that Spark accepted get names of archives, when all have ended, and the names have the
+writing's own id: a task that ran twice leaves one of its sets, an append nothing of others' less.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from urllib.parse import quote
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
 from sketchloom.llm import store
-from sketchloom.llm.common import shared_folder
+from sketchloom.llm.common import join_spread, shared_folder, written
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, payload_bytes long, refers_to string, content_length long, file string, offset long, payload binary"
 HEADER_COLUMNS = ("record_id", "record_type", "target_uri", "date", "payload_digest", "payload_bytes", "refers_to", "content_length", "file", "offset")
@@ -54,6 +56,15 @@ def _base32(sha1: str) -> str:
     return base64.b32encode(bytes.fromhex(sha1)).decode() if len(sha1) == 40 else sha1
 
 
+def agrees(kind: str, value: str, body: bytes) -> bool:
+    """Whether a header's digest, in hexadecimal digits, base 32 or base 64, is the body's; so it counts if the algorithm isn't known."""
+    name = kind.lower().replace("-", "")
+    if name not in hashlib.algorithms_guaranteed or name.startswith("shake"):
+        return True
+    own = hashlib.new(name, body, usedforsecurity=False).digest()
+    return value.lower() == own.hex() or value.rstrip("=") in {base64.b32encode(own).decode().rstrip("="), base64.b64encode(own).decode().rstrip("=")} or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
+
+
 def _clean(value: str) -> str:
     """A header value without line breaks or other controls: these are percent-encoded."""
     return value if value.isprintable() else "".join(quote(c) if ord(c) < 32 or ord(c) == 127 else c for c in value)
@@ -108,7 +119,8 @@ def parsed(head: bytes) -> dict[str, str]:
 
 def columns_of(headers: dict[str, str], file: str, offset: int) -> dict:
     plain = lambda x: x[1:-1] if x and x[:1] == "<" and x[-1:] == ">" else x
-    kind, _, value = (headers.get("warc-payload-digest") or "").rpartition(":")
+    told = headers.get("warc-payload-digest") or ""
+    value = told[5:] if told[:5].lower() == "sha1:" else told
     number = lambda x: int(x) if x and x.isdigit() else None
     return {"record_id": plain(headers.get("warc-record-id")), "record_type": headers.get("warc-type"), "target_uri": plain(headers.get("warc-target-uri")), "date": headers.get("warc-date"), "payload_digest": value or None, "payload_bytes": number(headers.get("warc-payload-length")), "refers_to": plain(headers.get("warc-refers-to")), "content_length": number(headers.get("content-length")), "file": file, "offset": offset}
 
@@ -210,12 +222,17 @@ def scan(f, size: int, file: str, wanted, payload: bool, verify: bool) -> Iterat
             yield row
 
 
+def _verified(told: str | None, body: bytes) -> bool:
+    kind, colon, value = (told or "").rpartition(":")
+    return not told or agrees(kind if colon else "sha1", value, body)
+
+
 def _payload(row: dict, block: bytes, verify: bool) -> bytes | None:
     """The body of a response's HTTP block; a revisit has none; other records' blocks as they are."""
     if row["record_type"] == "revisit":
         return None
     body = block.partition(BLANK)[2] if row["record_type"] == "response" else block
-    if verify and ((row["payload_bytes"] is not None and len(body) != row["payload_bytes"]) or (row["payload_digest"] is not None and digest(body) != row["payload_digest"])):
+    if verify and ((row["payload_bytes"] is not None and len(body) != row["payload_bytes"]) or not _verified(row["payload_digest"], body)):
         raise ValueError(f"{row['file']}: the payload at {row['offset']} isn't what its header says")
     return body
 
@@ -279,6 +296,7 @@ class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict) -> None:
         self.folder, self.level = options["path"], int(options.get("level", 3))
         self.file_bytes = int(options.get("file_bytes", 64 << 20))
+        self.run = uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Wrote:
         files, path = store.opened(self.folder)
@@ -287,15 +305,13 @@ class WarcWriter(DataSourceArrowWriter):
 
         def finish() -> None:
             out.close()
-            store.settle(files, draft, name)
-            done.files.append(name)
+            done.files.append(draft)
 
         for batch in iterator:
             for at in range(0, batch.num_rows, 256):
                 for row in batch.slice(at, 256).to_pylist():
                     if out is None:
-                        name = f"{path}/part-{task:06d}-{len(done.files):05d}.warc.gz"
-                        draft = f"{name}.{uuid.uuid4().hex}.draft"
+                        draft = f"{path}/part-{task:06d}-{len(done.files):05d}-{self.run}.warc.gz.{uuid.uuid4().hex}.draft"
                         out, held = files.open_output_stream(draft), 0
                     data = member(record(row), self.level)
                     out.write(data)
@@ -310,14 +326,20 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Wrote | None]) -> None:
         files, path = store.opened(self.folder)
         files.create_dir(path, recursive=True)
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(lambda draft: store.settle(files, draft, draft.rpartition(".warc.gz.")[0] + ".warc.gz"), [x for m in messages if m for x in m.files]))
+        self._clear()
         store.put(files, f"{path}/_SUCCESS", b"")
 
     def abort(self, messages: list[Wrote | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        """Deletes this writing's drafts that are left."""
         files, _ = store.opened(self.folder)
-        for message in messages:
-            for name in message.files if message else ():
-                if store.there(files, name):
-                    files.delete_file(name)
+        for path, _ in store.listed(self.folder, ".draft"):
+            if f"-{self.run}.warc.gz." in path:
+                files.delete_file(path)
 
 
 class WarcDataSource(DataSource):
@@ -363,8 +385,8 @@ def archive(df: DataFrame, folder: str, id_column: str, payload: str, url: str |
     body = F.coalesce(F.col(f"`{payload}`"), F.lit("")).cast("binary")
     rows = df.select(F.col(f"`{id_column}`").alias("id"), (F.col(f"`{url}`") if url else F.lit(None)).cast("string").alias("target_uri"), body.alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.length("payload").cast("long"), "sha1": F.sha1("payload")})
-    largest = rows.where(F.col("payload_bytes") >= min_bytes).groupBy(F.col("sha1").alias("of")).agg(F.max("id").alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    told = rows.join(largest, F.col("sha1") == F.col("of"), "left")
+    largest = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("sha1").agg(F.max("id").alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    told = join_spread(rows, written(largest), "sha1", "left")
     revisits = F.col("largest").isNotNull() & ~F.col("id").eqNullSafe(F.col("largest"))
     name = lambda c: F.concat(F.lit(prefix), F.coalesce(c.cast("string"), F.lit("null")))
     told = told.select(name(F.col("id")).alias("record_id"), F.when(revisits, "revisit").otherwise("response").alias("record_type"), "target_uri", F.lit(date).alias("date"), F.col("sha1").alias("payload_digest"), "payload_bytes", F.when(revisits, name(F.col("largest"))).alias("refers_to"), F.when(~revisits, F.col("payload")).alias("payload"))
