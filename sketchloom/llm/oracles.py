@@ -17,18 +17,24 @@ FROM (SELECT n, p, w, b, CASE WHEN p NOT IN (0, 1) THEN (s - n * p * p) / (p * (
 (SELECT sum(n)::DOUBLE AS n, sum(good)::DOUBLE / sum(n) AS p, count(*) - 1.0 AS w, sum(n) - sum(n * n)::DOUBLE / sum(n) - (count(*) - 1.0) AS b, sum(good * good / n::DOUBLE) AS s FROM {level})))"""
 
 
-URL_FILTERS = f"""WITH p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, {_REST} AS rest FROM pages)),
+_NAME = "rtrim(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.')"
+_ADDRESS = "(regexp_full_match(name, '[0-9.]*') OR starts_with(name, '['))"
+
+
+URL_FILTERS = f"""WITH p AS (SELECT *, {_NAME} AS name FROM (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, coalesce({_REST}, '') AS rest FROM pages))),
 lab AS (SELECT doc_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 WHEN quality IS NOT NULL AND toxic IS NOT NULL THEN 0 END) AS good FROM labels GROUP BY doc_id),
-counted AS (SELECT host, count(*) AS n, CAST(sum(good) AS BIGINT) AS good FROM p JOIN lab ON doc_id = page_id WHERE good IS NOT NULL GROUP BY host),
-hosts AS (SELECT *, CASE WHEN regexp_full_match(host, '[0-9.]*') THEN host WHEN {_last('host', 2)} IN {_TWO} THEN {_last('host', 3)} ELSE {_last('host', 2)} END AS domain, CASE WHEN regexp_full_match(host, '[0-9.]*') THEN '' WHEN {_last('host', 2)} IN {_TWO} THEN {_last('host', 2)} ELSE {_last('host', 1)} END AS suffix FROM counted),
+every AS (SELECT name, count(good) AS n, CAST(coalesce(sum(good), 0) AS BIGINT) AS good FROM p LEFT JOIN lab ON doc_id = page_id GROUP BY name),
+named AS (SELECT *, CASE WHEN {_ADDRESS} THEN name WHEN {_last('name', 2)} IN {_TWO} THEN {_last('name', 3)} ELSE {_last('name', 2)} END AS domain,
+CASE WHEN {_ADDRESS} THEN '' WHEN {_last('name', 2)} IN {_TWO} THEN {_last('name', 2)} ELSE {_last('name', 1)} END AS suffix FROM every),
+hosts AS (SELECT * FROM named WHERE n > 0),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY ALL), suffixes AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM domains GROUP BY ALL),
 {_strength('hosts')}, {_strength('domains')}, {_strength('suffixes')},
 suffix_means AS (SELECT suffix, (good + p * k) / (n + k) AS m FROM suffixes, k_suffixes), domain_means AS (SELECT domain, (good + m * k) / (n + k) AS m FROM domains JOIN suffix_means USING (suffix), k_domains),
-posterior AS (SELECT host, n, good, (good + m * k) / (n + k) AS mean, n + k AS size FROM hosts JOIN domain_means USING (domain), k_hosts),
-judged AS (SELECT p.page_id, p.host, p.path, n, good, coalesce(mean + 1.645 * sqrt(mean * (1 - mean) / (size + 1)) < 0.5, false) AS bad FROM p LEFT JOIN posterior q ON q.host = p.host),
+posterior AS (SELECT name, n, good, (good + coalesce(d.m, s.m, a.p) * k) / (n + k) AS mean, n + k AS size FROM named LEFT JOIN domain_means d USING (domain) LEFT JOIN suffix_means s USING (suffix), k_hosts, (SELECT p FROM k_suffixes) a),
+judged AS (SELECT p.page_id, p.host, p.path, n, good, mean + 1.645 * sqrt(mean * (1 - mean) / (size + 1)) < 0.5 AS bad FROM p JOIN posterior q ON q.name = p.name),
 ruled AS (SELECT *, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
 WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/' WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM judged)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR bad THEN 'block' ELSE 'allow' END AS verdict, coalesce(n, 0) AS outcomes, coalesce(good, 0) AS good FROM ruled"""
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR bad THEN 'block' ELSE 'allow' END AS verdict, n AS outcomes, good FROM ruled"""
 
 _LETTERS = ", ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, {1 + 5 * (k // 4)}, 5) AS BIGINT) >> {15 - 5 * (k % 4)}) & 31) + 1, 1)" for k in range(32))
 WARC = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages), g AS (SELECT h AS of, max(page_id) AS last FROM p GROUP BY h)
