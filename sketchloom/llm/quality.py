@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.llm import store
-from sketchloom.llm.common import shared_folder, written
+from sketchloom.llm.common import plain_names, shared_folder, written
 
 ORDER, SYMBOL_BITS = 4, 16
 #: Symbols: 0 pads, 1 is white space, 2 a digit; the code points of surrogates stand for characters beyond U+FFFF.
@@ -433,7 +433,6 @@ def assess(df: DataFrame, text: str = "text", lang: str = "lang", below: float =
 
 def filter_documents(df: DataFrame, text: str = "text", lang: str = "lang", below: float = BELOW, above: float = ABOVE, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
     """The rows of df that the rules keep, with df's columns."""
-    plain = [f"__c{k}" for k in range(len(df.columns))]  # so that no name of df's clashes with a new one
-    at = {c: p for c, p in zip(df.columns, plain, strict=True)}
-    measured = _measured(df.toDF(*plain), at[text], at[lang], least_documents, plain)
-    return judged(measured, bands(measured, below, above)).where("kept").select(*(F.col(p).alias(c) for c, p in at.items()))
+    plain, at = plain_names(df)
+    measured = _measured(plain, at[text], at[lang], least_documents, plain.columns)
+    return judged(measured, bands(measured, below, above)).where("kept").select(plain.columns).toDF(*df.columns)
