@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The Castagnoli polynomial, its bits reversed: fixed value.
+CRC32C = 0x82F63B78
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,3 +58,29 @@ def fast_mod(n: Column, m: int) -> Column:
 def saturation(obs_sec: Column, most: Column) -> Column:
     """Grey of an observation strip: 255 without any, 0 at the most."""
     return F.when(most > 0, 255 - F.floor(obs_sec / most * 255)).otherwise(F.lit(255)).cast("int")
+
+
+def crc32c_of(data: bytes) -> int:
+    """CRC-32C of bytes."""
+    crc, table = 0xFFFFFFFF, _crc_table()
+    for x in data:
+        crc = crc >> 8 ^ table[(crc ^ x) & 0xFF]
+    return crc ^ 0xFFFFFFFF
+
+
+@functools.cache
+def _crc_table() -> list[int]:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(CRC32C), table >> 1)
+    return table.tolist()
+
+
+def crc32c(data: Column) -> Column:
+    """CRC-32C of a binary column as a long; null of null. Spark has no such function of its own."""
+
+    @F.pandas_udf("long")
+    def checked(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: None if x is None else crc32c_of(bytes(x))).astype("Int64")
+
+    return checked(data)

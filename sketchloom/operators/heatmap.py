@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from sketchloom.operators.kinds import kind, sorted_cdf
 
-#: Values that differ by less than this from a column's quantile count as equal to it.
-SLACK = 1e-9
 #: Points of a sketch's quantile table.
 TABLE = 257
 
@@ -26,18 +24,20 @@ def scale_of(latest: DataFrame, kind_name: str = "exact") -> DataFrame:
     return latest.select("metric", values.alias("values"))
 
 
-def cells(cols: DataFrame, scale: DataFrame, height: int, colors: int) -> DataFrame:
+def cells(cols: DataFrame, scale: DataFrame, height: int, colors: int, slack: float = 1e-9) -> DataFrame:
     """(metric, x, w, y, color): y from 0 at the lowest quantile; the color is the rank, in the scale, of the column's quantile at y.
 
-    The scale has one row a metric; it joins by metric.
+    The scale has one row a metric; it joins by metric, and each of a column's quantiles is
+    ranked once. Values up to `slack` above a quantile count as equal to it: quantiles between
+    neighbours are sums that may end a last place off.
     """
     if height < 2 or colors < 1:
         raise ValueError("a height of 2 and a color at least")
-    rows = cols.join(scale, "metric").withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
-    at = F.floor(F.col("y") * (F.size("data") - 1) / F.lit(float(height - 1))).cast("int")
-    rows = rows.withColumn("value", F.element_at("data", at + 1))
-    rank = sorted_cdf(F.col("values"), F.col("value") + F.lit(SLACK))
-    return rows.select("metric", "x", "w", "y", F.floor(rank * (colors - 1)).cast("int").alias("color"))
+    color = lambda v: F.floor(sorted_cdf(F.col("values"), v + F.lit(slack)) * (colors - 1)).cast("int")
+    rows = cols.join(scale, "metric").select("metric", "x", "w", F.transform("data", color).alias("colors"))
+    rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
+    at = F.floor(F.col("y") * (F.size("colors") - 1) / F.lit(float(height - 1))).cast("int")
+    return rows.select("metric", "x", "w", "y", F.element_at("colors", at + 1).alias("color"))
 
 
 def palette(colors: int = 256) -> np.ndarray:

@@ -18,7 +18,8 @@ def finite(value: Column) -> Column:
 def observe(observations: DataFrame, period_ns: int, kind_name: str | None = "exact") -> DataFrame:
     """One record for each metric and each period (aligned to 1970) with a finite value.
 
-    min_id and max_id are those of the first observation, by time and id, that has the extreme.
+    min_id and max_id are those of the first observation, by time and id, that has the extreme;
+    ids are of any type with an order, text and binary too.
     With kind_name None no distribution is kept. One shuffle, after partial aggregation.
     """
     if period_ns % 1000 or period_ns <= 0:
@@ -26,7 +27,7 @@ def observe(observations: DataFrame, period_ns: int, kind_name: str | None = "ex
     page = F.floor(F.col("us") / F.lit(period_ns // 1000)).cast("long")
     rows = observations.where(finite(F.col("value"))).withColumn("page", page)
     first = F.min(F.struct("value", "us", "id"))
-    last = F.max(F.struct(F.col("value"), (-F.col("us")).alias("us"), (-F.col("id")).alias("id")))
+    last = F.min(F.struct((-F.col("value")).alias("value"), "us", "id"))
     told = [F.count(F.lit(1)).alias("observations"), first.alias("least"), last.alias("most")]
     if kind_name:
         told.append(kind(kind_name).build(F.col("value")).alias("distribution"))
@@ -38,7 +39,7 @@ def observe(observations: DataFrame, period_ns: int, kind_name: str | None = "ex
     else:
         found = rows.groupBy("metric", "page").agg(*told).withColumn("distribution", F.lit(None).cast("binary"))
     start = F.col("page") * F.lit(period_ns).cast("long")
-    return found.select("metric", start.alias("start_ns"), (start + F.lit(period_ns).cast("long")).alias("end_ns"), "observations", F.col("least.value").alias("min"), F.col("most.value").alias("max"), F.col("least.id").alias("min_id"), (-F.col("most.id")).alias("max_id"), F.lit(1).cast("long").alias("merged"), F.lit(kind_name).alias("kind"), "distribution")
+    return found.select("metric", start.alias("start_ns"), (start + F.lit(period_ns).cast("long")).alias("end_ns"), "observations", F.col("least.value").alias("min"), (-F.col("most.value")).alias("max"), F.col("least.id").alias("min_id"), F.col("most.id").alias("max_id"), F.lit(1).cast("long").alias("merged"), F.lit(kind_name).alias("kind"), "distribution")
 
 
 def merge(records: DataFrame, *by: str | Column, kind_name: str | None = None) -> DataFrame:
@@ -48,7 +49,7 @@ def merge(records: DataFrame, *by: str | Column, kind_name: str | None = None) -
     than `kind_name`, raise an error. Without kind_name the distributions are left out.
     """
     base = F.when(F.col("merged") == 0, 1).otherwise(F.col("merged"))
-    told = [F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"), F.sum("observations").alias("observations"), F.min(F.struct("min", "start_ns", "min_id")).alias("least"), F.max(F.struct(F.col("max"), (-F.col("start_ns")).alias("s"), (-F.col("max_id")).alias("id"))).alias("most"), F.sum(base).alias("merged")]
+    told = [F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"), F.sum("observations").alias("observations"), F.min(F.struct("min", "start_ns", "min_id")).alias("least"), F.min(F.struct((-F.col("max")).alias("max"), "start_ns", "max_id")).alias("most"), F.sum(base).alias("merged")]
     if kind_name:
         right = F.col("kind") == kind_name
         told.append(F.max(F.when(right, kind_name).otherwise(F.raise_error(F.concat(F.lit("can't merge a distribution of kind "), F.coalesce("kind", F.lit("null")))))).alias("kind"))
@@ -62,7 +63,7 @@ def merge(records: DataFrame, *by: str | Column, kind_name: str | None = None) -
     else:
         found = found.withColumns({"kind": F.lit(None).cast("string"), "distribution": F.lit(None).cast("binary")})
     names = [c for c in found.columns if c not in {*RECORD_FIELDS, "least", "most"} or c == "metric"]
-    return found.select(*names, "start_ns", "end_ns", "observations", F.col("least.min").alias("min"), F.col("most.max").alias("max"), F.col("least.min_id").alias("min_id"), (-F.col("most.id")).alias("max_id"), "merged", "kind", "distribution")
+    return found.select(*names, "start_ns", "end_ns", "observations", F.col("least.min").alias("min"), (-F.col("most.max")).alias("max"), F.col("least.min_id").alias("min_id"), F.col("most.max_id").alias("max_id"), "merged", "kind", "distribution")
 
 
 def sampled(records: DataFrame, kind_name: str, samples: int) -> DataFrame:

@@ -6,56 +6,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Rows that one window of a metric's series should hold; a longer series is cut into ranges of its order.
-CHUNK_ROWS = 1_000_000
+#: Nanoseconds of a range of a series: a day.
+RANGE_NS = 86_400_000_000_000
 
 
-def _chunk(rows: DataFrame, order: str, chunk_rows: int) -> Column | None:
-    """Which range of `order` (a long) a row is in: equal ranges, for about `chunk_rows` rows each; None if one will do."""
-    told = rows.agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("low"), F.max(order).alias("high")).first()
-    parts = -(-told.n // chunk_rows)
-    if parts < 2 or told.low is None:
-        return None
-    return F.call_function("div", F.col(order) - F.lit(told.low).cast("long"), F.lit(-(-(told.high - told.low + 1) // parts)).cast("long"))
+def _range(order: str, width: int) -> Column:
+    return F.call_function("div", F.col(order).cast("long"), F.lit(width).cast("long"))
 
 
-def accepted(writes: DataFrame, stored: DataFrame | None = None, order: str = "seq", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """The writes, in order of `order` by metric, that end after all before them and after what is stored.
+def accepted(writes: DataFrame, stored: DataFrame | None = None, order: str = "seq", width: int = RANGE_NS) -> DataFrame:
+    """The writes, in order of `order` (a long) by metric, that end after all before them and after what is stored.
 
     A refused write ends no later than one before, so that the running maximum of all ends is
-    that of the accepted ones. A long series is cut into ranges; each starts from the maximum
-    of those before it.
+    that of the accepted ones. A series is cut into ranges of `width` of its order, a window
+    each; one starts from the maximum of those before it.
     """
-    chunk = _chunk(writes, order, chunk_rows)
-    keys = ["metric"] if chunk is None else ["metric", "__chunk"]
-    rows = writes if chunk is None else writes.withColumn("__chunk", chunk)
+    keys = ["metric", "__range"]
+    rows = writes.withColumn("__range", _range(order, width))
     so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__before", F.max("end_ns").over(so_far))
-    if chunk is not None:
-        earlier = Window.partitionBy("metric").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-        tops = rows.groupBy(*keys).agg(F.max("end_ns").alias("__top")).select(*keys, F.max("__top").over(earlier).alias("__earlier"))
-        rows = rows.join(tops, keys).withColumn("__before", F.greatest("__before", "__earlier"))
+    earlier = Window.partitionBy("metric").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = writes.groupBy("metric", _range(order, width).alias("__range")).agg(F.max("end_ns").alias("__top")).select(*keys, F.max("__top").over(earlier).alias("__earlier"))
+    rows = rows.join(tops, keys).withColumn("__before", F.greatest("__before", "__earlier"))
     if stored is not None:
         last = stored.groupBy("metric").agg(F.max("end_ns").alias("__last"))
         rows = rows.join(last, "metric", "left").withColumn("__before", F.greatest("__before", "__last"))  # greatest skips nulls
     return rows.where(F.col("__before").isNull() | (F.col("end_ns") > F.col("__before"))).select(writes.columns)
 
 
-def retained(records: DataFrame, cap: int, files: int, order: str = "end_ns", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """What a ring of files of `cap` records keeps of each metric: the newest file and up to `files` full ones before; files 0 keeps all."""
+def retained(records: DataFrame, cap: int, files: int, order: str = "end_ns", width: int = RANGE_NS) -> DataFrame:
+    """What a ring of files of `cap` records keeps of each metric: the newest file and up to `files` full ones before; files 0 keeps all.
+
+    Places are counted in ranges of `width` of the order, a window each.
+    """
     if files == 0:
         return records
-    chunk = _chunk(records, order, chunk_rows)
-    keys = ["metric"] if chunk is None else ["metric", "__chunk"]
-    rows = records if chunk is None else records.withColumn("__chunk", chunk)
-    rows = rows.withColumn("__at", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    if chunk is not None:
-        counts = counts.withColumn("__base", F.sum("__n").over(Window.partitionBy("metric").orderBy("__chunk")) - F.col("__n"))
-        rows = rows.join(counts.select(*keys, "__base"), keys).withColumn("__at", F.col("__at") + F.col("__base"))
-    whole = counts.groupBy("metric").agg(F.sum("__n").alias("__whole"))
+    keys = ["metric", "__range"]
+    rows = records.withColumn("__range", _range(order, width)).withColumn("__at", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
+    counts = records.groupBy("metric", _range(order, width).alias("__range")).agg(F.count(F.lit(1)).alias("__n"))
+    every = Window.partitionBy("metric")
+    counts = counts.select(*keys, (F.sum("__n").over(every.orderBy("__range")) - F.col("__n")).alias("__base"), F.sum("__n").over(every).alias("__whole"))
+    rows = rows.join(counts, keys).withColumn("__at", F.col("__at") + F.col("__base"))
     block = lambda at: F.floor(at / cap)
-    return rows.join(whole, "metric").where(block(F.col("__at")) >= block(F.col("__whole") - 1) - files).select(records.columns)
+    return rows.where(block(F.col("__at")) >= block(F.col("__whole") - 1) - files).select(records.columns)
 
 
 def before(records: DataFrame, metric: str, end_ns: int) -> DataFrame:
@@ -93,5 +86,5 @@ def lookback(records: DataFrame, now_ns: int, span_ns: int, extra: bool = True)
 
 
 def write(records: DataFrame, path: str) -> None:
-    """Appends records as Parquet, sorted so that a series and a time are found by row-group statistics."""
-    records.repartition("metric").sortWithinPartitions("metric", "end_ns").write.mode("append").parquet(path)
+    """Appends records as Parquet, dealt by ranges of metric and end, so that no metric is one task's, and sorted so that a series and a time are found by row-group statistics."""
+    records.repartitionByRange("metric", "end_ns").sortWithinPartitions("metric", "end_ns").write.mode("append").parquet(path)

@@ -20,6 +20,8 @@ SIX_HOURS = 6 * HOUR
 #: 2024-02-01 00:00 UTC, just after the last event.
 NOW = 1_706_745_600_000_000_000
 WEEK, WIDTH = 7 * DAY, 100
+#: A time in the middle of the events, and the width of a range of writes.
+MIDDLE, RANGE = NOW - 15 * DAY, 1_000_000
 QS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
 
 
@@ -42,6 +44,20 @@ def window_minmax_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.observe(tables.events(spark, sf_dir), DAY, None).select("metric", "start_ns", "min", "min_id", "max", "max_id")
 
 
+def window_minmax_ids_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids as text."""
+    rows = tables.events(spark, sf_dir).withColumn("id", F.concat(F.lit("e"), F.col("id").cast("string")))
+    return records.observe(rows, DAY, None).select("metric", "start_ns", "min", "min_id", "max", "max_id")
+
+
+def graphite_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines to records; of one event in seven the number has a letter after it, which makes the line bad."""
+    rows = tables.events(spark, sf_dir)
+    number = F.concat(F.col("id").cast("string"), F.when(F.col("id") % 7 == 0, "d").otherwise(""))
+    parsed = graphite.parse(rows.select(F.concat_ws(" ", "metric", number, F.lit("0")).alias("line"), "us", "id"), "line")
+    return records.observe(parsed.where(~F.col("bad")), DAY, None).select("metric", "start_ns", "observations", "min", "max", "min_id", "max_id")
+
+
 def window_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = records.observe(tables.events(spark, sf_dir), DAY).withColumn("qs", kinds.kind("exact").quantiles(F.col("distribution"), QS))
     return found.select("metric", "start_ns", F.posexplode("qs").alias("k", "v")).select("metric", "start_ns", F.col("k").cast("long").alias("k"), F.round("v", 6).alias("v"))
@@ -94,12 +110,13 @@ def _writes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def monotonic_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.accepted(_writes(spark, sf_dir))
+    return series.accepted(_writes(spark, sf_dir), width=RANGE)
 
 
 def monotonic_accept_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = _writes(spark, sf_dir).where("seq % 10 = 0 and seq < 20000")
-    return series.accepted(_writes(spark, sf_dir).where("seq % 10 != 0"), stored)
+    """What ended before MIDDLE is stored; all else is written."""
+    writes, old = _writes(spark, sf_dir), F.col("end_ns") < F.lit(MIDDLE).cast("long")
+    return series.accepted(writes.where(~old), writes.where(old), width=RANGE)
 
 
 def retention_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +260,7 @@ def demo_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.observe(demo.observations(spark, NOW // 1000), step, "kll").select("metric", "start_ns", "observations", "min", "max")
 
 
-QUERIES = {f.__name__: f for f in (finite_filter, window_records, window_minmax_ids, window_quantiles, order_records, lineitem_quantiles, merge_records, merge_quantiles_exact, cdf_exact, obs_per_sec, latest_record, series_scan_before, monotonic_accept, monotonic_accept_stored, retention_topn, metric_names, name_union, metric_search_substring, metric_search_glob, metric_search_terms, metric_search_all, lookback_plus_one, pixel_map, pixel_coverage, columns_segmented, columns_quantiles, busiest_column, strip_saturation, heatmap_cells, graphite_parse, path_codec, split_names, axis_labels, fast_mod, half_precision, kll_quantiles, tdigest_quantiles, windowed_records, demo_records)}
+QUERIES = {f.__name__: f for f in (finite_filter, window_records, window_minmax_ids, window_minmax_ids_text, graphite_records, window_quantiles, order_records, lineitem_quantiles, merge_records, merge_quantiles_exact, cdf_exact, obs_per_sec, latest_record, series_scan_before, monotonic_accept, monotonic_accept_stored, retention_topn, metric_names, name_union, metric_search_substring, metric_search_glob, metric_search_terms, metric_search_all, lookback_plus_one, pixel_map, pixel_coverage, columns_segmented, columns_quantiles, busiest_column, strip_saturation, heatmap_cells, graphite_parse, path_codec, split_names, axis_labels, fast_mod, half_precision, kll_quantiles, tdigest_quantiles, windowed_records, demo_records)}
 
 
 _OBS = "obs AS (SELECT 'events.' || event_type AS metric, epoch_us(ts) AS us, value, event_id AS id FROM events WHERE value IS NOT NULL AND isfinite(value))"
@@ -274,6 +291,11 @@ ORACLE_SQL: dict[str, str] = {
     "finite_filter": "SELECT 'events.' || event_type AS metric, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_id % 7 > 3 AND value IS NOT NULL GROUP BY ALL",
     "window_records": f"WITH {_OBS}, {_records(SIX_HOURS)} SELECT metric, start_ns, end_ns, observations, mn AS min, mx AS max, CAST(1 AS BIGINT) AS merged FROM rec",
     "window_minmax_ids": f"WITH {_OBS}, {_records(DAY)} SELECT metric, start_ns, mn AS min, min_id, mx AS max, max_id FROM rec",
+    "window_minmax_ids_text": f"""WITH obs AS (SELECT 'events.' || event_type AS metric, epoch_us(ts) AS us, value, 'e' || event_id AS id FROM events WHERE value IS NOT NULL AND isfinite(value))
+SELECT metric, (us // {DAY // 1000}) * {DAY} AS start_ns, min(value) AS min, arg_min(id, struct_pack(v := value, t := us, i := id)) AS min_id, max(value) AS max, arg_min(id, struct_pack(v := -value, t := us, i := id)) AS max_id
+FROM obs GROUP BY metric, us // {DAY // 1000}""",
+    "graphite_records": f"""WITH obs AS (SELECT 'events.' || event_type AS metric, epoch_us(ts) AS us, event_id::DOUBLE AS value, event_id AS id FROM events WHERE event_id % 7 <> 0), {_records(DAY)}
+SELECT metric, start_ns, observations, mn AS min, mx AS max, min_id, max_id FROM rec""",
     "window_quantiles": f"WITH {_OBS}, q AS (SELECT metric, (us // {DAY // 1000}) * {DAY} AS start_ns, quantile_cont(value, {_Q}) AS qs FROM obs GROUP BY ALL) SELECT metric, start_ns, k, round(qs[k + 1], 6) AS v FROM q, range({len(QS)}) t(k)",
     "order_records": f"""WITH obs AS (SELECT 'orders.' || o_orderstatus || '.' || o_orderpriority AS metric, epoch_us(o_orderdate) AS us, o_totalprice AS value, o_orderkey AS id FROM orders), {_records(30 * DAY)}
 SELECT metric, start_ns, observations, mn AS min, mx AS max, min_id, max_id FROM rec""",
@@ -286,8 +308,8 @@ arg_min(min_id, struct_pack(v := mn, t := start_ns, i := min_id)) AS min_id, arg
     "latest_record": f"WITH {_OBS}, {_records(SIX_HOURS)} SELECT metric, start_ns, end_ns, observations, mn AS min, mx AS max FROM rec QUALIFY row_number() OVER (PARTITION BY metric ORDER BY end_ns DESC) = 1",
     "series_scan_before": f"WITH {_OBS}, {_records(SIX_HOURS)} SELECT metric, start_ns, end_ns, observations FROM rec WHERE metric = 'events.click' AND end_ns < {NOW - WEEK} ORDER BY end_ns DESC",
     "monotonic_accept": f"WITH {_WRITES} SELECT metric, seq, end_ns FROM (SELECT *, max(end_ns) OVER (PARTITION BY metric ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w) WHERE before IS NULL OR end_ns > before",
-    "monotonic_accept_stored": f"""WITH {_WRITES}, s AS (SELECT metric, max(end_ns) AS last FROM w WHERE seq % 10 = 0 AND seq < 20000 GROUP BY metric)
-SELECT metric, seq, end_ns FROM (SELECT w.*, s.last, max(end_ns) OVER (PARTITION BY w.metric ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w LEFT JOIN s ON s.metric = w.metric WHERE seq % 10 <> 0)
+    "monotonic_accept_stored": f"""WITH {_WRITES}, s AS (SELECT metric, max(end_ns) AS last FROM w WHERE end_ns < {MIDDLE} GROUP BY metric)
+SELECT metric, seq, end_ns FROM (SELECT w.*, s.last, max(end_ns) OVER (PARTITION BY w.metric ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w LEFT JOIN s ON s.metric = w.metric WHERE end_ns >= {MIDDLE})
 WHERE (before IS NULL OR end_ns > before) AND (last IS NULL OR end_ns > last)""",
     "retention_topn": f"WITH {_OBS}, {_records(SIX_HOURS)}, b AS (SELECT metric, end_ns, (row_number() OVER (PARTITION BY metric ORDER BY end_ns) - 1) // 7 AS block FROM rec) SELECT metric, end_ns FROM b QUALIFY block >= max(block) OVER (PARTITION BY metric) - 3",
     "metric_names": f"WITH {_USERS} SELECT metric FROM names ORDER BY metric",

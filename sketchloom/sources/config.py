@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -74,19 +76,27 @@ def load(path: str | Path) -> Config:
     return loads(Path(path).read_text())
 
 
+def _text(x: str) -> str:
+    return json.dumps(x, ensure_ascii=False).replace("\x7f", "\\u007f")
+
+
+def _key(x: str) -> str:
+    return x if re.fullmatch("[A-Za-z0-9_-]+", x) else _text(x)
+
+
 def _value(x: Any) -> str:
-    return str(x).lower() if isinstance(x, bool) else f'"{x}"' if isinstance(x, str) else f"[{', '.join(map(_value, x))}]" if isinstance(x, list) else str(x)
+    return str(x).lower() if isinstance(x, bool) else _text(x) if isinstance(x, str) else f"[{', '.join(map(_value, x))}]" if isinstance(x, list) else str(x)
 
 
 def dumps(config: Config) -> str:
     """The configuration as TOML, which loads() reads back."""
-    rows = lambda t: "".join(f"{k} = {_value(v)}\n" for k, v in t.items())
+    rows = lambda t: "".join(f"{_key(k)} = {_value(v)}\n" for k, v in t.items())
     out = f'[main]\nduration = "{config.duration_ns}ns"\nplugins = {_value(config.plugins)}\n'
     for what, (name, entries) in (("database", config.database), ("dist", config.distribution)):
-        out += f"\n[{what}.{name}]\n{rows(entries)}"
+        out += f"\n[{what}.{_key(name)}]\n{rows(entries)}"
     if config.api:
         out += f"\n[api]\n{rows({k: v for k, v in config.api.items() if not isinstance(v, dict)})}"
-        out += "".join(f"\n[api.{k}]\n{rows(v)}" for k, v in config.api.items() if isinstance(v, dict))
+        out += "".join(f"\n[api.{_key(k)}]\n{rows(v)}" for k, v in config.api.items() if isinstance(v, dict))
     for name, entries in config.listeners:
-        out += f"\n[[listeners.{name}]]\n{rows(entries)}"
+        out += f"\n[[listeners.{_key(name)}]]\n{rows(entries)}"
     return out

@@ -105,9 +105,9 @@ def test_long_series_are_cut_without_a_difference(spark):
     rng = random.Random(4)
     rows = [(f"m{rng.randint(0, 2)}", k, rng.randint(0, 400) + k) for k in range(400)]
     df = spark.createDataFrame(rows, "metric string, seq long, end_ns long")
-    assert sorted(series.accepted(df, chunk_rows=30).collect()) == sorted(series.accepted(df).collect())
+    assert sorted(series.accepted(df, width=30).collect()) == sorted(series.accepted(df).collect())
     ends = df.dropDuplicates(["metric", "end_ns"]).cache()
-    assert sorted(series.retained(ends, 7, 3, chunk_rows=25).collect()) == sorted(series.retained(ends, 7, 3).collect())
+    assert sorted(series.retained(ends, 7, 3, width=25).collect()) == sorted(series.retained(ends, 7, 3).collect())
     assert series.accepted(df.limit(0)).count() == series.retained(df.limit(0), 7, 3).count() == 0
 
 
@@ -191,7 +191,9 @@ def test_graphite_lines(spark):
 
 def test_graphite_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("m 1.5 0\nbad\n")
-    assert graphite.read_files(spark, str(tmp_path)).collect() == [("m", 1.5)]
+    found = graphite.read_files(spark, str(tmp_path))
+    assert [(r.metric, r.value, r.id) for r in found.collect()] == [("m", 1.5, None)] and found.first().us > 10**15
+    assert records.observe(found, 10**9, None).first().observations == 1
 
 
 def test_half_precision_is_numpys(spark):
