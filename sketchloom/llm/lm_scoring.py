@@ -1,12 +1,20 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(token | before) = P(class | before) * P(token | class). The classes part the vocabulary by
-frequency into shares of nearly equal mass, the end of a text alone. P(class | before) is a
-softmax over weights of hashed features: the word before, the two before, and the words two
-and three back alone (skips). P(token | class) needs no features: it is the smoothed count of
-the token within its class; a word never seen belongs to the last class. The weights are
-learned from all training tokens by gradient steps in every task at once, averaged over tasks
-by how often each feature was met; their number is a parameter, not a matter of the corpus.
+P(token | before) = P(class | before) * P(part | class, before) * P(leaf | part, before) *
+P(token | leaf). The classes part the vocabulary by frequency into shares of nearly equal mass,
+the end of a text alone; a word never seen belongs to the last. A class of many words has 16
+parts and each part 16 leaves, by bits of the word's hash; one of up to 16 words has parts only,
+and one word needs neither. Each of the choices is a softmax over weights of hashed features:
+the word before and the two before, and for the class also the words two and three back alone
+(skips). A choice within a class starts from the shares that the parts have in the training
+tokens. The tokens of a leaf, one or a few but in the class of the rarest, share it by their
+smoothed counts.
+
+The weights are learned from all training tokens by gradient steps in every task at once,
+averaged over tasks by how often each feature was met. Their number grows as the square root of
+the training tokens, as a vocabulary does, up to 2 ** MOST_BITS rows (268 MB): beyond that,
+features share rows more. There are twice as many learning tasks as the cluster has cores, so
+that what they exchange is so many times the weights.
 
 Words are counted without a row for each. A task codes its documents in blocks: tokens as
 places in the block's own vocabulary, a sorted array of 64-bit hashes. Each block sends the
@@ -38,6 +46,13 @@ ALPHA = 0.1
 #: Counts are told apart to a 32nd of an octave where classes are cut.
 OCTAVE = 32
 FEATURES = 4
+#: Choices of a node, features within a class, rows of weights by the root of the tokens, and their log2 at least and at most.
+WIDE, INNER, ROWS_A_ROOT, LEAST_BITS, MOST_BITS = 16, 2, 24, 12, 22
+LEAVES = WIDE * WIDE
+#: The rate of steps within a class, as a share of that for classes.
+INNER_RATE = 0.5
+#: What a row's squared gradients start from: a feature that is met once moves little.
+FIRST_SQUARES = 30.0
 #: Blocks are written to so many files, so that tasks get equal shares of them; with more blocks a file has several.
 BLOCK_FILES = 10_000
 ROWS_A_CHUNK = 256
@@ -128,7 +143,7 @@ def lower_words(text: str | None) -> list[bytes]:
 
 
 def count_buckets(coded: DataFrame) -> DataFrame:
-    """(block, bucket, counts of the corpus in the block's order, and once a bucket its sums by count bin)."""
+    """(block, bucket, counts of the corpus in the block's order, and once a bucket its sums by count bin and leaf)."""
 
     def counted(table: pa.Table) -> pa.Table:
         keys, ns, sizes = [], [], []
@@ -142,8 +157,8 @@ def count_buckets(coded: DataFrame) -> DataFrame:
         total = np.bincount(at, np.concatenate(ns)).astype(np.int64)
         ends = np.cumsum(sizes)
         seen = total[(total > 0) & (distinct != np.uint64(END))]
-        bins = count_bins(seen)
-        found, which = np.unique(bins, return_inverse=True)
+        places = count_bins(seen) * LEAVES + (distinct[(total > 0) & (distinct != np.uint64(END))] % np.uint64(LEAVES)).astype(np.int64)
+        found, which = np.unique(places, return_inverse=True)
         sums = np.stack([found, np.bincount(which, minlength=len(found)), np.bincount(which, seen, len(found)).astype(np.int64)]) if len(seen) else np.zeros((3, 0), np.int64)
         end = int(total[distinct == np.uint64(END)].sum())
         sums = np.concatenate([sums, np.array([[-1], [int(end > 0)], [end]])], axis=1)
@@ -159,32 +174,48 @@ def count_bins(counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Classes:
-    """Class 0 is the end; the others start at falling count bins; the last also has what was never seen."""
+    """Class 0 is the end; the others start at falling count bins; the last also has what was never seen: a word in each leaf."""
 
     starts: np.ndarray  # the lowest bin of classes 1, 2, ... , falling
-    mass: np.ndarray
-    size: np.ndarray
-    tokens: int
-    kinds: int
+    mass: np.ndarray  # (classes, LEAVES): training tokens
+    size: np.ndarray  # words
 
     @classmethod
-    def cut(cls, sums: dict[int, tuple[int, int]], classes: int) -> Classes:
-        """From (words, mass) by bin; -1 is the end."""
-        whole = sum(m for b, (_, m) in sums.items() if b >= 0)
-        starts, mass, size = [], [sums.get(-1, (0, 0))[1]], [sums.get(-1, (0, 0))[0]]
-        n = m = spent = 0
-        for b in sorted((b for b in sums if b >= 0), reverse=True):
-            n, m = n + sums[b][0], m + sums[b][1]
+    def cut(cls, sums: dict[tuple[int, int], tuple[int, int]], classes: int) -> Classes:
+        """From (words, tokens) by bin and leaf; bin -1 is the end."""
+        by_bin: dict[int, int] = {}
+        for (b, _), (_, m) in sums.items():
+            if b >= 0:
+                by_bin[b] = by_bin.get(b, 0) + m
+        whole, starts, m, spent = sum(by_bin.values()), [], 0, 0
+        for b in sorted(by_bin, reverse=True)[:-1]:  # the rarest words are in the last class, with those never seen
+            m += by_bin[b]
             if m >= (whole - spent) / max(1, classes - 1 - len(starts)) and len(starts) < classes - 2:
                 starts.append(b)
-                mass.append(m)
-                size.append(n)
-                spent += m
-                n = m = 0
-        starts.append(-1)
-        mass.append(m)
-        size.append(n)
-        return cls(np.array(starts), np.array(mass, float), np.array(size, float), int(sum(mass)), int(sum(size)))
+                spent, m = spent + m, 0
+        found = cls(np.array([*starts, -1]), np.zeros((len(starts) + 2, LEAVES)), np.zeros((len(starts) + 2, LEAVES)))
+        for (b, leaf), (n, m) in sums.items():
+            own = int(1 + np.searchsorted(-found.starts, -b)) if b >= 0 else 0
+            found.mass[own, leaf if own else 0] += m
+            found.size[own, leaf if own else 0] += n
+        return found
+
+    def told(self) -> Classes:
+        """Sums, depths and shares, once mass and size are there."""
+        self.tokens, self.kinds = int(self.mass.sum()), int(self.size.sum())
+        words = self.size.sum(axis=1)
+        words[-1] += LEAVES
+        self.depth = np.where(words <= 1, 0, np.where(words <= WIDE, 1, 2))
+        self.depth[0] = 0
+        room = self.mass + ALPHA * self.size
+        room[-1] += ALPHA
+        leaves = room.reshape(len(self), WIDE, WIDE)
+        parts, whole = leaves.sum(axis=2), room.sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = lambda x, of: np.nan_to_num(np.log(x / of), nan=0.0, neginf=-np.inf).astype(np.float32)
+            self.parts, self.leaves = share(parts, whole[:, None]), share(leaves, parts[:, :, None]).reshape(-1, WIDE)
+        self.room = np.stack([np.repeat(whole[:, None], LEAVES, axis=1), np.repeat(parts, WIDE, axis=1), room])
+        return self
 
     def __len__(self) -> int:
         return len(self.mass)
@@ -194,16 +225,13 @@ class Classes:
         bins = np.where(counts > 0, count_bins(counts), -1)
         return 1 + np.searchsorted(-self.starts, -bins)
 
-    def logp(self, counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Log probability of a token within its class."""
-        room = self.mass + ALPHA * (self.size + (np.arange(len(self)) == len(self) - 1))
-        room = np.where(room > 0, room, 1.0)
-        p = (counts + ALPHA) / room[classes]
-        return np.log(np.where(classes == 0, 1.0, p))  # class 0 has one token
+    def logp(self, counts: np.ndarray, classes: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Log probability of a word among those that the choices don't tell from it."""
+        return np.where(classes == 0, 0.0, np.log((counts + ALPHA) / self.room[self.depth[classes], classes, leaf]))
 
 
-def feature_rows(block: Block, start: int, stop: int, bits: int) -> np.ndarray:
-    """The hashed features (rows of weights) of tokens start to stop: (n, FEATURES)."""
+def feature_codes(block: Block, start: int, stop: int) -> np.ndarray:
+    """The features of tokens start to stop, as 64-bit codes: (n, FEATURES), those within classes first."""
     first = np.repeat(np.cumsum(block.lengths, dtype=np.int64) - block.lengths, block.lengths)[start:stop]
     at = np.arange(start, stop)
     h = block.hashes.astype(np.uint64)
@@ -211,20 +239,25 @@ def feature_rows(block: Block, start: int, stop: int, bits: int) -> np.ndarray:
     for k in (1, 2, 3):
         before = at - k
         back.append(np.where(before >= first, h[block.tokens[np.maximum(before, 0)]], np.uint64(k)))
-    mix = np.uint64(0x9E3779B97F4A7C15)
-    own = [back[0] * np.uint64(4), (back[0] * mix + back[1]) * np.uint64(4) + np.uint64(1), back[1] * np.uint64(4) + np.uint64(2), back[2] * np.uint64(4) + np.uint64(3)]
-    out = np.empty((stop - start, FEATURES), np.int32)
-    for k, x in enumerate(own):
-        x = x * mix
-        out[:, k] = ((x ^ (x >> np.uint64(29))) * mix) >> np.uint64(64 - bits)
-    return out
+    return np.stack([back[0] * np.uint64(4), (back[0] * MIX + back[1]) * np.uint64(4) + np.uint64(1), back[1] * np.uint64(4) + np.uint64(2), back[2] * np.uint64(4) + np.uint64(3)], axis=1)
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def weight_rows(codes: np.ndarray, node: np.ndarray | int, bits: int) -> np.ndarray:
+    """The rows of weights of features (n, any) at nodes (n), or at one."""
+    x = codes + (np.asarray(node, np.uint64) * np.uint64(0xD6E8FEB86659FD93)).reshape(-1, 1)
+    x = x * MIX
+    return (((x ^ (x >> np.uint64(29))) * MIX) >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def log_softmax(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray, wide: int | None = None) -> np.ndarray:
+    """Of the first `wide` choices; prior: (choices), or (n, choices), where -inf is no choice."""
     z = weights[rows[:, 0]]
     for k in range(1, rows.shape[1]):
         z += weights[rows[:, k]]
-    z += bias
+    z = z[:, :wide] + prior
     z -= z.max(axis=1, keepdims=True)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
@@ -232,7 +265,7 @@ def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.n
 
 @dataclass
 class Model:
-    """Classes, and weights (features x classes) with a bias."""
+    """Classes, and weights (rows x WIDE) with the classes' bias."""
 
     classes: Classes
     weights: np.ndarray
@@ -242,37 +275,62 @@ class Model:
     def bits(self) -> int:
         return int(len(self.weights)).bit_length() - 1
 
-    def targets(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
-        """The class of each entry of the block's vocabulary, and its log probability in the class."""
+    def targets(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The class and leaf of each entry of the block's vocabulary, and its log probability there."""
         classes = self.classes.of(block.counts)
         classes[block.end] = 0
-        return classes, self.classes.logp(block.counts, classes)
+        leaf = (block.hashes % np.uint32(LEAVES)).astype(np.int64)
+        return classes, leaf, self.classes.logp(block.counts, classes, leaf)
+
+    def choices(self, classes: np.ndarray, leaf: np.ndarray, codes: np.ndarray) -> Iterator[tuple[np.ndarray | None, np.ndarray, np.ndarray, np.ndarray]]:
+        """Below the classes, level by level: which tokens choose, rows of weights, priors and what is chosen."""
+        for level, shares in ((1, self.classes.parts), (2, self.classes.leaves)):
+            own = np.flatnonzero(self.classes.depth[classes] >= level)
+            c, x = classes[own], leaf[own]
+            node, chosen = (c, x // WIDE) if level == 1 else (c * WIDE + x // WIDE, x % WIDE)
+            yield own, weight_rows(codes[own, :INNER], node + 1 + (level - 1) * len(self.classes), self.bits), shares[node], chosen
+
+    def logp(self, classes: np.ndarray, leaf: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Log probability of each token's class, part and leaf after its features."""
+        z = log_softmax(self.weights, self.bias, weight_rows(codes, 0, self.bits), len(self.classes))
+        out = z[np.arange(len(codes)), classes].astype(np.float64)
+        for own, rows, prior, chosen in self.choices(classes, leaf, codes):
+            if len(own):
+                out[own] += log_softmax(self.weights, prior, rows)[np.arange(len(own)), chosen]
+        return out
+
+
+def step(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray, chosen: np.ndarray, wide: int, seen: np.ndarray, squares: np.ndarray, rate: float) -> np.ndarray:
+    """A gradient step over a batch; changes weights, seen and squares in place and returns the mean gradient."""
+    g = -np.exp(log_softmax(weights, prior, rows, wide))
+    g[np.arange(len(chosen)), chosen] += 1
+    flat = rows.ravel().astype(np.uint16) if len(weights) <= 1 << 16 else rows.ravel()  # short integers sort faster
+    order = np.argsort(flat, kind="stable")
+    ordered = flat[order]
+    begins = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    sums = np.add.reduceat(g[order // rows.shape[1]], begins, axis=0)
+    own = ordered[begins]
+    squares[own] += np.einsum("ij,ij->i", sums, sums)
+    weights[own, :wide] += np.float32(rate) * sums / np.sqrt(squares[own])[:, None]
+    seen[own] += np.diff(np.append(begins, len(ordered)))
+    return g.mean(axis=0)
 
 
 def learn(model: Model, block: Block, weights: np.ndarray, bias: np.ndarray, seen: np.ndarray, squares: np.ndarray, rate: float) -> None:
     """Gradient steps over the block's training tokens; changes weights, bias, seen and squares in place."""
-    classes, _ = model.targets(block)
+    classes, leaf, _ = model.targets(block)
     learned = np.repeat(block.train.astype(bool), block.lengths)
-    n = len(block.tokens)
+    n, wide = len(block.tokens), len(model.classes)
     for start in range(0, n, 1 << 17):
         stop = min(n, start + (1 << 17))
         use = learned[start:stop]
-        rows = feature_rows(block, start, stop, model.bits)[use]
-        target = classes[block.tokens[start:stop][use]]
+        codes, own = feature_codes(block, start, stop)[use], block.tokens[start:stop][use]
+        rows, target = weight_rows(codes, 0, model.bits), classes[own]
         for a in range(0, len(rows), BATCH):
-            r, y = rows[a : a + BATCH], target[a : a + BATCH]
-            g = -np.exp(log_softmax(weights, bias, r))
-            g[np.arange(len(y)), y] += 1
-            bias += np.float32(rate / 4) * g.mean(axis=0)
-            flat = r.ravel().astype(np.uint16) if len(weights) <= 1 << 16 else r.ravel()  # short integers sort faster
-            order = np.argsort(flat, kind="stable")
-            ordered = flat[order]
-            begins = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-            sums = np.add.reduceat(g[order // FEATURES], begins, axis=0)
-            own = ordered[begins]
-            squares[own] += np.einsum("ij,ij->i", sums, sums)
-            weights[own] += np.float32(rate) * sums / np.sqrt(squares[own])[:, None]
-            seen[own] += np.diff(np.append(begins, len(ordered)))
+            bias += np.float32(rate / 4) * step(weights, bias, rows[a : a + BATCH], target[a : a + BATCH], wide, seen, squares, rate)
+        for _, rows, prior, chosen in model.choices(target, leaf[own], codes):
+            for a in range(0, len(rows), BATCH):
+                step(weights, prior[a : a + BATCH], rows[a : a + BATCH], chosen[a : a + BATCH], WIDE, seen, squares, rate * INNER_RATE)
 
 
 def block_of(row: dict) -> Block:
@@ -280,19 +338,24 @@ def block_of(row: dict) -> Block:
     return Block(row["ids"], np.frombuffer(row["train"], np.uint8), u4(row["lengths"]).astype(np.int64), u4(_unpack(row["tokens"])), u4(row["hashes"]), np.frombuffer(row["counts"], np.int64), row["end_place"])
 
 
+def bits_for(tokens: int) -> int:
+    """log2 of the rows of weights for so many training tokens."""
+    return int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(ROWS_A_ROOT * np.sqrt(max(1, tokens)))))))
+
+
 def fit(coded: DataFrame, classes: Classes, bits: int, rounds: int, rate: float) -> Model:
     """Weights learned from every training token, `rounds` times over."""
-    spark = coded.sparkSession
-    k = len(classes)
-    prior = (classes.mass + 0.5) / (classes.mass + 0.5).sum()
-    model = Model(classes, np.zeros((1 << bits, k), np.float32), np.log(prior).astype(np.float32))
+    spark, k = coded.sparkSession, WIDE
+    coded = coded.coalesce(2 * spark.sparkContext.defaultParallelism)
+    mass = classes.mass.sum(axis=1) + 0.5
+    model = Model(classes, np.zeros((1 << bits, k), np.float32), np.log(mass / mass.sum()).astype(np.float32))
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(model)  # 2 ** bits x classes weights
+        shared = spark.sparkContext.broadcast(model)  # 2 ** bits x WIDE weights
 
         def stepped(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             model = shared.value
             weights, bias = model.weights.copy(), model.bias.copy()
-            seen, squares, tokens = np.zeros(len(weights), np.float32), np.full(len(weights), 1.0, np.float32), 0
+            seen, squares, tokens = np.zeros(len(weights), np.float32), np.full(len(weights), FIRST_SQUARES, np.float32), 0
             for batch in batches:
                 for row in range(batch.num_rows):
                     block = block_of(batch.slice(row, 1).to_pylist()[0])
@@ -335,8 +398,8 @@ def fit(coded: DataFrame, classes: Classes, bits: int, rounds: int, rate: float)
 _CHANGE = pa.schema([("chunk", pa.int32()), ("change", pa.binary()), ("seen", pa.binary())])
 
 
-def corpus_blocks(df: DataFrame, id_column: str, text: str, fold: int, folds: int) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
-    """Blocks of df's documents with the corpus' counts, as a table, and (words, tokens) by count bin."""
+def corpus_blocks(df: DataFrame, id_column: str, text: str, fold: int, folds: int) -> tuple[DataFrame, dict[tuple[int, int], tuple[int, int]]]:
+    """Blocks of df's documents with the corpus' counts, as a table, and (words, tokens) by count bin and leaf."""
     bits = bucket_bits(df.count())
     coded = written(code_blocks(df, id_column, text, fold, folds, bits))
     counted = written(count_buckets(coded))
@@ -347,7 +410,7 @@ def corpus_blocks(df: DataFrame, id_column: str, text: str, fold: int, folds: in
                 bins, n, m = np.frombuffer(x.as_py(), np.int64).reshape(3, -1)
                 yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(n), pa.array(m)], names=["bin", "n", "m"])
 
-    sums = counted.where("sums is not null").select("sums").mapInArrow(explode, "bin long, n long, m long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect()  # 32 rows an octave of counts at most
+    sums = counted.where("sums is not null").select("sums").mapInArrow(explode, "bin long, n long, m long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect()  # 32 * LEAVES rows an octave of counts at most
 
     def merged(body: pa.Table, parts: pa.Table) -> pa.Table:
         ordered = parts.sort_by("bucket")
@@ -357,20 +420,23 @@ def corpus_blocks(df: DataFrame, id_column: str, text: str, fold: int, folds: in
     bodies = coded.where("bucket = -1").select("block", "ids", "train", "lengths", "tokens", "hashes", "end_place")
     whole = bodies.groupBy("block").cogroup(counted.select("block", "bucket", "counts").groupBy("block")).applyInArrow(merged, "block long, ids array<long>, train binary, lengths binary, tokens binary, hashes binary, end_place long, counts binary")
     number = coded.where("bucket = -1").count()
-    return written(whole, rows_a_file=max(1, number // BLOCK_FILES)), {r.bin: (r.n, r.m) for r in sums}
+    return written(whole, rows_a_file=max(1, number // BLOCK_FILES)), {((r.bin // LEAVES, r.bin % LEAVES) if r.bin >= 0 else (-1, 0)): (r.n, r.m) for r in sums}
 
 
-def score(df: DataFrame, id_column: str = "doc_id", text: str = "text", fold: int = 0, folds: int = 10, classes: int = 24, bits: int = 15, rounds: int = 1, rate: float = 0.7) -> DataFrame:
+def score(df: DataFrame, id_column: str = "doc_id", text: str = "text", fold: int = 0, folds: int = 10, classes: int = WIDE, bits: int | None = None, rounds: int = 1, rate: float = 0.7) -> DataFrame:
     """Scores of every whole text, learned from rows whose id's remainder isn't `fold`.
 
     Returns the id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10). A
     null text has the end alone; a null id counts as empty text for its fold; rows that repeat
     are scored, and counted, each. Without training rows every token scores log10 1 by the
-    base. An empty table gives no rows.
+    base. An empty table gives no rows. `classes` are WIDE at most; without `bits` there are as
+    many rows of weights as bits_for() has it.
     """
+    if not 2 <= classes <= WIDE:
+        raise ValueError(f"from 2 to {WIDE} classes")
     blocks, sums = corpus_blocks(df, id_column, text, fold, folds)
-    cut = Classes.cut(sums, classes)
-    model = df.sparkSession.sparkContext.broadcast(fit(blocks, cut, bits, rounds, rate))  # 2 ** bits x classes weights
+    cut = Classes.cut(sums, classes).told()
+    model = df.sparkSession.sparkContext.broadcast(fit(blocks, cut, bits or bits_for(cut.tokens), rounds, rate))  # 2 ** MOST_BITS x WIDE weights at most
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
@@ -378,14 +444,13 @@ def score(df: DataFrame, id_column: str = "doc_id", text: str = "text", fold: in
         for batch in batches:
             for k in range(batch.num_rows):
                 block = block_of(batch.slice(k, 1).to_pylist()[0])
-                of, inside = own.targets(block)
+                of, leaf, inside = own.targets(block)
                 base = np.log10((block.counts + ALPHA) / (whole + ALPHA * (kinds + 1)))
                 logp = np.empty(len(block.tokens))
                 for start in range(0, len(logp), 1 << 14):
                     stop = min(len(logp), start + (1 << 14))
                     places = block.tokens[start:stop]
-                    z = log_softmax(own.weights, own.bias, feature_rows(block, start, stop, own.bits))
-                    logp[start:stop] = z[np.arange(stop - start), of[places]] + inside[places]
+                    logp[start:stop] = own.logp(of[places], leaf[places], feature_codes(block, start, stop)) + inside[places]
                 starts = np.cumsum(block.lengths) - block.lengths
                 columns = [pa.array(block.ids, pa.int64()), pa.array(block.train == 0), pa.array(block.lengths), pa.array(np.add.reduceat((block.counts > 0)[block.tokens].astype(np.int64), starts)), pa.array(np.full(len(starts), whole)), pa.array(np.add.reduceat(base[block.tokens], starts)), pa.array(np.add.reduceat(logp, starts) / np.log(10))]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_column, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

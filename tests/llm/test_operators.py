@@ -344,22 +344,6 @@ def test_lm_query_against_brute_force(spark, docs):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_lm_scores_are_probabilities(spark, docs):
-    """Over all next tokens, known ones and one unknown, the model's probabilities add up to one."""
-    df = table(spark, SF, "documents").limit(60)
-    blocks, sums = lm_scoring.corpus_blocks(df, "doc_id", "text", 0, 10)
-    cut = lm_scoring.Classes.cut(sums, 16)
-    model = lm_scoring.fit(blocks, cut, 10, 1, 0.3)
-    block = lm_scoring.block_of(blocks.first().asDict())
-    of, inside = model.targets(block)
-    known = block.counts > 0
-    classes = np.exp(lm_scoring.log_softmax(model.weights, model.bias, lm_scoring.feature_rows(block, 5, 6, 10)))[0]
-    assert classes.sum() == pytest.approx(1, abs=1e-4)
-    for k in range(len(cut)):
-        own = np.exp(inside[known & (of == k)]).sum() + (0.1 / (cut.mass[k] + 0.1 * (cut.size[k] + 1)) if k == len(cut) - 1 else 0)
-        assert own == pytest.approx(1, abs=1e-6)
-
-
 def test_lm_of_odd_rows(spark, odd, none):
     rows = lm_scoring.score(odd).collect()
     assert len(rows) == len(ODD) and all(math.isfinite(r.score) and r.n_tokens >= 1 for r in rows)

@@ -262,15 +262,14 @@ def test_word_statistics(text):
 def test_classes_part_the_words():
     counts = np.array([1000, 400, 400, 50, 50, 7, 1, 1, 1, 1])
     bins = lm_scoring.count_bins(counts)
-    sums = {int(b): (int((bins == b).sum()), int(counts[bins == b].sum())) for b in bins} | {-1: (1, 100)}
-    cut = lm_scoring.Classes.cut(sums, 5)
+    leaf = np.arange(len(counts)) * 37 % lm_scoring.LEAVES
+    sums = {(int(b), int(x)): (int(((bins == b) & (leaf == x)).sum()), int(counts[(bins == b) & (leaf == x)].sum())) for b, x in zip(bins, leaf, strict=True)} | {(-1, 0): (1, 100)}
+    cut = lm_scoring.Classes.cut(sums, 5).told()
     assert cut.tokens == counts.sum() + 100 and cut.kinds == 11 and len(cut) <= 5
     own = cut.of(np.append(counts, 0))
     assert own.min() >= 1 and own[-1] == len(cut) - 1 and list(own[:-1]) == sorted(own[:-1])
-    logp = cut.logp(np.append(counts, 0), own)
-    for k in range(1, len(cut)):
-        assert np.exp(logp[own == k]).sum() == pytest.approx(1)
-    assert lm_scoring.Classes.cut({}, 4).tokens == 0
+    assert own[-2] == own[-1] and cut.mass.sum() == cut.tokens and cut.size[1:].sum() == len(counts)
+    assert lm_scoring.Classes.cut({}, 4).told().tokens == 0
 
 
 def test_search_in_a_block_finds_the_nearest():
