@@ -75,7 +75,7 @@ class Plain:
 
 def test_scores_against_plain_ones_and_probabilities_sum_to_one(spark, learned):
     df, blocks, model = learned
-    docs = {r.doc_id: [x.lower() for x in (r.text or "").split()] for r in df.collect()}
+    docs = {r.doc_id: [w.decode() for w in lm.lower_words(r.text)] for r in df.collect()}
     counts = Counter(w for k, t in docs.items() if zlib.crc32(str(k).encode()) % 10 for w in [*t, ""])
     plain = Plain(model, counts)
     assert set(model.classes.depth) >= {0, 2} and plain.words.total() == len(counts) - 1
