@@ -252,15 +252,26 @@ def weight_rows(codes: np.ndarray, node: np.ndarray | int, bits: int) -> np.ndar
     return (((x ^ (x >> np.uint64(29))) * MIX) >> np.uint64(64 - bits)).astype(np.int32)
 
 
-def log_softmax(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray, wide: int | None = None) -> np.ndarray:
-    """Of the first `wide` choices; prior: (choices), or (n, choices), where -inf is no choice."""
-    z = weights[rows[:, 0]]
+def softmax(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponents of the first `wide` choices, up to a shift, their exponentials, and the sums of these by row; prior: (choices), or (n, choices), where -inf is no choice."""
+    z = weights.take(rows[:, 0], 0, mode="clip")
     for k in range(1, rows.shape[1]):
-        z += weights[rows[:, k]]
+        z += weights.take(rows[:, k], 0, mode="clip")
     z = z[:, :wide] + prior
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+    z -= z.max()  # one shift for all rows is fast, and will do unless they lie far apart
+    e = np.exp(z)
+    sums = e @ np.ones(e.shape[1], np.float32)
+    if not sums.min() > 1e-30:
+        z -= z.max(axis=1, keepdims=True)
+        e = np.exp(z)
+        sums = e.sum(axis=1)
+    return z, e, sums
+
+
+def chosen_logp(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray, chosen: np.ndarray, wide: int) -> np.ndarray:
+    """Log probability of each row's choice."""
+    z, _, sums = softmax(weights, prior, rows, wide)
+    return z[np.arange(len(z)), chosen].astype(np.float64) - np.log(sums)
 
 
 @dataclass
@@ -292,26 +303,36 @@ class Model:
 
     def logp(self, classes: np.ndarray, leaf: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Log probability of each token's class, part and leaf after its features."""
-        z = log_softmax(self.weights, self.bias, weight_rows(codes, 0, self.bits), len(self.classes))
-        out = z[np.arange(len(codes)), classes].astype(np.float64)
+        out = chosen_logp(self.weights, self.bias, weight_rows(codes, 0, self.bits), classes, len(self.classes))
         for own, rows, prior, chosen in self.choices(classes, leaf, codes):
             if len(own):
-                out[own] += log_softmax(self.weights, prior, rows)[np.arange(len(own)), chosen]
+                out[own] += chosen_logp(self.weights, prior, rows, chosen, WIDE)
         return out
 
 
 def step(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray, chosen: np.ndarray, wide: int, seen: np.ndarray, squares: np.ndarray, rate: float) -> np.ndarray:
     """A gradient step over a batch; changes weights, seen and squares in place and returns the mean gradient."""
-    g = -np.exp(log_softmax(weights, prior, rows, wide))
+    _, e, sums = softmax(weights, prior, rows, wide)
+    g = e / -sums[:, None]
     g[np.arange(len(chosen)), chosen] += 1
-    flat = rows.ravel().astype(np.uint16) if len(weights) <= 1 << 16 else rows.ravel()  # short integers sort faster
-    order = np.argsort(flat, kind="stable")
+    flat = rows.ravel()
+    order = np.argsort(flat)
     ordered = flat[order]
-    begins = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    sums = np.add.reduceat(g[order // rows.shape[1]], begins, axis=0)
-    own = ordered[begins]
-    squares[own] += np.einsum("ij,ij->i", sums, sums)
-    weights[own, :wide] += np.float32(rate) * sums / np.sqrt(squares[own])[:, None]
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    begins, again = np.flatnonzero(new), np.flatnonzero(~new)
+    each = g.take(order // rows.shape[1], 0, mode="clip")
+    sums, own = each.take(begins, 0, mode="clip"), ordered[begins]
+    if len(again):  # few rows of weights are met more than once
+        to = (np.cumsum(new) - 1)[again]
+        starts = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+        sums[to[starts]] += np.add.reduceat(each.take(again, 0, mode="clip"), starts, axis=0)
+    size = squares[own] + np.einsum("ij,ij->i", sums, sums)
+    squares[own] = size
+    sums *= (np.float32(rate) / np.sqrt(size))[:, None]
+    if wide < weights.shape[1]:
+        weights[own, :wide] += sums
+    else:
+        weights[own] = weights.take(own, 0, mode="clip") + sums
     seen[own] += np.diff(np.append(begins, len(ordered)))
     return g.mean(axis=0)
 

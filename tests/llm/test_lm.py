@@ -30,11 +30,10 @@ class Plain:
         self.model, self.cut = model, model.classes
         self.counts = counts
         self.share = {}
-        for w, n in [*counts.items(), *((None, 0) for _ in range(lm.LEAVES))]:
+        for w, n in [*counts.items(), *((leaf, 0) for leaf in range(lm.LEAVES))]:  # numbers: one never seen for each leaf
             if w != "":
-                leaf = xxhash.xxh64_intdigest(w.encode()) % lm.LEAVES if w is not None else len([1 for k in self.share if k[0] == "new"])
+                leaf = w if isinstance(w, int) else xxhash.xxh64_intdigest(w.encode()) % lm.LEAVES
                 own = self.class_of(n)
-                self.share["new", leaf] = None if w is None else self.share.get(("new", leaf))
                 for key in ((own,), (own, leaf // 16), (own, leaf // 16, leaf % 16)):
                     self.share[key] = self.share.get(key, 0.0) + n + 0.1
         self.words = Counter(self.class_of(n) for w, n in counts.items() if w)
