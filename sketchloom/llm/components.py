@@ -35,3 +35,20 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def joined_components(members: DataFrame, links: DataFrame) -> DataFrame:
+    """`members` (node, component, as connected_components has it) after more links (a, b).
+
+    Only components are linked, so that the rounds cost what the new links do, not the old
+    ones. Ends that are in no component are components of themselves. A component's name stays
+    its smallest node, and the rows of one that holds very many nodes are dealt to many tasks.
+    """
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    known = written(ends.join(members, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    between = links.join(known.select(F.col("node").alias("a"), F.col("component").alias("from")), "a").join(known.select(F.col("node").alias("b"), F.col("component").alias("to")), "b")
+    tops = connected_components(between.select(F.col("from").alias("a"), F.col("to").alias("b")).distinct()).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    everyone = written(members.unionByName(known.join(members, "node", "left_anti")))
+    sizes = everyone.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    named = written(sizes.join(tops, "component", "left").select("component", F.coalesce("top", "component").alias("top"), "n"))
+    return join_spread(everyone, named, "component").select("node", F.col("top").alias("component"))

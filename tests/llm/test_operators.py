@@ -279,6 +279,24 @@ def test_components_of_a_path_and_a_star(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_after_more_links_are_those_of_all_links(spark):
+    rng = np.random.default_rng(3)
+    old, new = rng.integers(0, 300, (120, 2)).tolist(), rng.integers(0, 400, (60, 2)).tolist() + [[0, 0], [500, 501]]
+
+    def framed(rows):
+        return spark.createDataFrame(rows, "a long, b long")
+
+    def as_dict(members):
+        rows = members.collect()
+        assert len({r.node for r in rows}) == len(rows)
+        return {r.node: r.component for r in rows}
+
+    members = components.connected_components(framed(old))
+    found, want = as_dict(components.joined_components(members, framed(new))), as_dict(components.connected_components(framed(old + new)))
+    assert {k: v for k, v in found.items() if k in want} == want and all(k == found[k] for k in found if k not in want)  # an end linked to itself only
+    assert as_dict(components.joined_components(members, framed([]))) == as_dict(members)
+
+
 # WARC
 
 
