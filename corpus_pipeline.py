@@ -32,8 +32,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each component of links of Jaccard similarity 0.8 or more on five-word shingles.
 
-    Found by near_copies, not by fingerprints: README has the figures why. Texts without words
-    are copies of each other; null ids come after others, and of rows that are alike one stays.
+    Candidates are found by SimHash fingerprints of those shingles and compared exactly; what
+    fingerprints miss at this similarity is found by prefixes (near_copies; README has the
+    figures why both). Texts without words are copies of each other; null ids come after others, and of rows that are alike one stays.
     No documents give none.
     """
     return near_copies.deduplicate(docs)

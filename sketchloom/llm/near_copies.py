@@ -1,6 +1,8 @@
 """Near copies: rows whose sets of word shingles have a Jaccard similarity of at least `least`.
 
-Found exactly, by prefix filtering: with the shingles of every set in one order, two such sets
+Candidates are found by SimHash fingerprints of the same shingles, searched as simhash.py does,
+and each is compared exactly. What fingerprints miss at this similarity is found by prefix
+filtering, so that no link is lost: with the shingles of every set in one order, two such sets
 share one of their first size - ceil(least * size) + 1. The order is rarest first, by counts of
 hashed shingles, so that few sets meet at a shingle; it decides what the search costs, never
 what it finds.
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sketchloom.llm.common import LOWER_BYTES, join_spread, plain_names, words, written
 from sketchloom.llm.components import connected_components, joined_components
-from sketchloom.llm.simhash import first_rows
+from sketchloom.llm.simhash import fingerprint, first_rows, near_links
 
 #: So many sets that share a shingle are compared by all pairs; in larger crowds each first with so many neighbours.
 FEW, NEIGHBOURS = 32, 4
@@ -91,7 +93,7 @@ def slots(own: np.ndarray) -> np.ndarray:
 
 
 def prefixes(df: DataFrame, text: str, shingle: int, least: float, counts: np.ndarray) -> DataFrame:
-    """`__id`, node, size, prefix (the set's first shingles, as bytes) and parity bits of each row of df."""
+    """`__id`, node, size, prefix (the set's first shingles), print (the text's SimHash) and parity bits of each row of df."""
     shared = df.sparkSession.sparkContext.broadcast(counts)  # 2 ** SLOTS counters
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,10 +101,11 @@ def prefixes(df: DataFrame, text: str, shingle: int, least: float, counts: np.nd
         for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             sets = [shingle_set(x.as_py(), shingle) for x in batch.column(1)]
             first = [s[np.lexsort((s, counts[slots(s)]))][: len(s) - math.ceil(least * len(s) - 1e-9) + 1] for s in sets]
+            prints = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64).view(np.int64)
             bits = np.array([parities(s) for s in sets]).reshape(len(sets), len(LONGS)).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array([p.tobytes() for p in first], pa.binary()), *map(pa.array, bits)], names=["__id", "node", "size", "prefix", *LONGS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array([p.view(np.int64) for p in first], pa.list_(pa.int64())), pa.array(prints), *map(pa.array, bits)], names=["__id", "node", "size", "prefix", "print", *LONGS])
 
-    return df.select("__id", F.col(f"`{text}`")).mapInArrow(found, f"__id long, node long, size int, prefix binary, {', '.join(f'{x} long' for x in LONGS)}")
+    return df.select("__id", F.col(f"`{text}`")).mapInArrow(found, f"__id long, node long, size int, prefix array<long>, print long, {', '.join(f'{x} long' for x in LONGS)}")
 
 
 def may_reach(least: float, size_a: Column | np.ndarray, at_a: Column | np.ndarray, size_b: Column | np.ndarray, at_b: Column | np.ndarray, smaller) -> Column | np.ndarray:  # noqa: ANN001
@@ -115,8 +118,7 @@ def meetings(sets: DataFrame, least: float) -> DataFrame:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
-            found = batch.column(2).to_pylist()
-            sizes, own = np.array([len(x) // 8 for x in found], np.int64), np.frombuffer(b"".join(found), np.int64)
+            sizes, own = batch.column(2).value_lengths().to_numpy().astype(np.int64), batch.column(2).flatten().to_numpy()
             at = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             rows = [own, np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(batch.column(1).to_numpy(), sizes).astype(np.int32), at.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["key", "a", "size", "at"])
@@ -187,6 +189,21 @@ def alike(df: DataFrame, pairs: DataFrame, text: str, shingle: int, least: float
     return both.where(F.col("both") >= (F.size("own_a") + F.size("own_b") - F.col("both")) * F.lit(least) - 1e-9).select("a", "b")
 
 
+def by_prints(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose texts' fingerprints are the same or near, as many as join what fingerprints join."""
+    own = written(rows.where("size > 0").select("node", F.col("print").alias("fp")).distinct())
+    first = written(own.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")))
+    same = join_spread(own, first, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = near_links(first.select("fp"), stars=False)
+    for c in ("a", "b"):
+        near = near.join(first.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")), c)
+    return same.unionByName(near.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))).where("a != b")
+
+
+def pairs_of(met: DataFrame) -> DataFrame:
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def strangers(crowds: DataFrame, members: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of sets of a crowd that may be alike and aren't of one component; crowds: key, a, size, at."""
     joined = crowds.join(members.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
@@ -212,7 +229,7 @@ def near_copies(df: DataFrame, id_column: str = "doc_id", text: str = "text", sh
     df = df.select(F.col(f"`{id_column}`").cast("long").alias("__id"), F.col(f"`{text}`").alias("__text"))
     rows = written(prefixes(df, "__text", shingle, least, shingle_counts(df, "__text", shingle)))
     met = written(meetings(rows.where("size > 0").dropDuplicates(["node"]), least))
-    pairs = written(met.where("b is not null").select("a", "b").distinct())
+    pairs = written(pairs_of(by_prints(rows).unionByName(met.where("b is not null").select("a", "b"))))
     links = written(alike(df, pairs, "__text", shingle, least))
     members = written(connected_components(links))
     if met.where("b is null").limit(1).count():

@@ -201,9 +201,27 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
-def linked(key: np.ndarray, fp: np.ndarray, radius: int, free: int) -> tuple[np.ndarray, np.ndarray]:
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links a-b, as many as join what all of them join, fewer than twice the nodes: each round takes one out of every component."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label, left, taken = np.arange(len(nodes)), np.arange(len(a)), [np.zeros(0, np.int64)]
+    while len(left := left[label[x[left]] != label[y[left]]]):
+        at = np.unique(np.concatenate([label[x[left]], label[y[left]]]), return_index=True)[1] % len(left)
+        taken.append(left[np.unique(at)])
+        node, top = forest(label[x[taken[-1]]], label[y[taken[-1]]])
+        to = np.arange(len(nodes))
+        to[node] = top
+        label = to[label]
+    own = np.concatenate(taken)
+    return a[own], b[own]
+
+
+def linked(key: np.ndarray, fp: np.ndarray, radius: int, free: int, stars: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Links within each run of equal keys (sorted; fingerprints distinct within a run) that join all which lie within the radius.
 
+    With `stars` as stars of what is joined, else as links that lie within the radius themselves.
+
     `free`: the bits in which fingerprints of a run can differ. Large runs are searched through
     the values within half the radius of each fingerprint: for radius 2, those that share a
     value one bit away are within 2 bits of each other, and the other way round.
@@ -232,7 +250,7 @@ def linked(key: np.ndarray, fp: np.ndarray, radius: int, free: int) -> tuple[np.
             found_b.append(b)
     if not found_a:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return forest(np.concatenate(found_a), np.concatenate(found_b))
+    return (forest if stars else spanning)(np.concatenate(found_a), np.concatenate(found_b))
 
 
 def through_neighbours(own: np.ndarray, flips: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -254,10 +272,11 @@ def through_neighbours(own: np.ndarray, flips: np.ndarray, radius: int) -> Itera
     yield own[a], own[b]
 
 
-def near_links(fps: DataFrame, radius: int = 2, parts: int = 3, bucket_rows: int = 20_000) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = 2, parts: int = 3, bucket_rows: int = 20_000, stars: bool = True) -> DataFrame:
     """Links (a, b: long) that join just those distinct fingerprints `fp` which chains of at most `radius` differing bits join.
 
-    They are stars of what each task has joined, so there are no more than fingerprints by mask.
+    They are stars of what each task has joined, so there are no more than fingerprints by mask;
+    without `stars`, fewer than twice as many, each within the radius itself.
     """
     if not 0 <= radius <= 2:
         raise ValueError("a radius from 0 to 2")
@@ -292,7 +311,7 @@ def near_links(fps: DataFrame, radius: int = 2, parts: int = 3, bucket_rows: int
         def out(cols: np.ndarray) -> Iterator[pa.RecordBatch]:
             for m in np.unique(cols[1]):
                 own = cols[:, cols[1] == m]
-                a, b = linked(own[2], np.ascontiguousarray(own[0]).view(np.uint64), radius, ~int(m) & (1 << 64) - 1)
+                a, b = linked(own[2], np.ascontiguousarray(own[0]).view(np.uint64), radius, ~int(m) & (1 << 64) - 1, stars)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 

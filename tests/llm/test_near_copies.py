@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from sketchloom.llm import near_copies
+from sketchloom.llm import near_copies, simhash
 from sketchloom.llm.common import table, words
 
 
@@ -72,3 +73,27 @@ def test_rows_of_odd_ids(spark):
     left = near_copies.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in left if r.text) in ([(0, "C  d"), (1, "a b")], [(0, "c d"), (1, "a b")]) and [r.doc_id for r in left if not r.text] == [2]
     assert near_copies.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_fingerprints_find_candidates_before_prefixes_do(spark, monkeypatch):
+    """Without the meetings of prefixes, texts with fingerprints within 2 bits are linked, if the sets are alike."""
+    whole = near_copies.meetings
+    monkeypatch.setattr(near_copies, "meetings", lambda *args: whole(*args).where("false"))
+    rng = random.Random(7)
+    text = [f"w{k}" for k in rng.sample(range(10**6), 1000)]
+    bits = lambda x: (near_copies.fingerprint(" ".join(text), 5) ^ near_copies.fingerprint(" ".join(x), 5)).bit_count()
+    near = {bits(x): x for k in range(1, 40) for x in [[*text[:-k], *(f"other{i}" for i in range(k))]]}
+    assert {0, 1, 2} <= set(near)
+    rows = [(1, " ".join(text)), (2, " ".join(near[0])), (3, " ".join(near[1])), (4, " ".join(near[2])), (5, "a b c d e f"), (6, "b c a d e f")]
+    found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6}
+
+
+def test_links_that_span_are_of_those_given():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 50, 400):
+        a = rng.integers(0, 300, n).astype(np.uint64)
+        b = a + rng.integers(1, 9, n).astype(np.uint64)
+        x, y = simhash.spanning(a, b)
+        assert set(zip(x.tolist(), y.tolist(), strict=True)) <= set(zip(a.tolist(), b.tolist(), strict=True)) and len(x) < 2 * len(np.unique([a, b]))
+        assert all(np.array_equal(p, q) for p, q in zip(simhash.forest(x, y), simhash.forest(a, b), strict=True))
