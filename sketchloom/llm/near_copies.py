@@ -9,8 +9,10 @@ what it finds.
 
 Scale: only distinct sets are searched, so copies cost nothing. Sets that meet at a shingle are
 all compared if they are at most FEW. Larger crowds are first compared by a window of neighbours
-in size. What no links have joined to a crowd's largest component then meets the rest of the
-crowd, by bounds on size and place and by parity bits: each set has BITS bits, the parities of its
+in size and in groups of about TOGETHER, drawn anew at each shingle, which makes pairs in
+proportion to a crowd and joins most of what is alike. What no links have joined to a crowd's
+largest component then meets the rest of the crowd, each pair at the first shingle it shares. Both
+pass by bounds on size and place and by parity bits: each set has BITS bits, the parities of its
 hashes that fall to them, and two sets differ in as many elements, at least, as bits. Few others
 than sets that are alike pass, and only these pairs are made; their sets are compared, each once.
 """
@@ -30,8 +32,8 @@ from sketchloom.llm.common import LOWER_BYTES, join_spread, plain_names, words,
 from sketchloom.llm.components import connected_components, joined_components
 from sketchloom.llm.simhash import fingerprint, first_rows, near_links
 
-#: So many sets that share a shingle are compared by all pairs; in larger crowds each first with so many neighbours.
-FEW, NEIGHBOURS = 32, 4
+#: So many sets that share a shingle are compared by all pairs; in larger crowds each first with so many neighbours, and in groups of so many.
+FEW, NEIGHBOURS, TOGETHER = 32, 4, 8
 #: log2 of the counters that order shingles, and counters a row.
 SLOTS, SLOTS_A_ROW = 18, 4096
 #: Parity bits of a set, in longs.
@@ -200,22 +202,38 @@ def by_prints(rows: DataFrame) -> DataFrame:
     return same.unionByName(near.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))).where("a != b")
 
 
+def may_be_alike(least: float) -> Column:
+    """Whether sets that meet in a crowd, the second with names in _b, may share enough."""
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in LONGS[1:]), F.bit_count(F.col(LONGS[0]).bitwiseXOR(F.col(f"{LONGS[0]}_b"))))
+    few = differ <= (F.col("size") + F.col("size_b")) * F.lit((1 - least) / (1 + least)) + 1e-6
+    return may_reach(least, F.col("size"), F.col("at"), F.col("size_b"), F.col("at_b"), F.least) & few
+
+
 def pairs_of(met: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def strangers(crowds: DataFrame, members: DataFrame, rows: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of sets of a crowd that may be alike and aren't of one component; crowds: key, a, size, at."""
+def together(crowds: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of sets of a crowd that may be alike, of those that are dealt to one group; crowds: key, a, size, at, parity bits."""
+    groups = crowds.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(TOGETHER)).alias("groups"))
+    dealt = crowds.join(groups, "key").withColumn("group", F.pmod(F.xxhash64("a", "key"), "groups"))
+    others = dealt.select("key", "group", *(F.col(c).alias(f"{c}_b") for c in ("a", "size", "at", *LONGS)))
+    return dealt.join(others, ["key", "group"]).where((F.col("a") < F.col("a_b")) & may_be_alike(least)).select("a", F.col("a_b").alias("b"))
+
+
+def strangers(crowds: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of sets of a crowd that may be alike and aren't of one component; crowds: key, a, size, at, prefix, parity bits.
+
+    Each pair is made once, at the first shingle that both prefixes have. Where that isn't a
+    crowd's, the pair has been compared.
+    """
     joined = crowds.join(members.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
     parts = joined.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts"))
-    joined = joined.join(parts.where("parts > 1").drop("parts"), "key")
-    joined = written(joined.join(rows.dropDuplicates(["node"]).select(F.col("node").alias("a"), *LONGS), "a"))
-    others = joined.where(F.col("component") != F.col("most")).select("key", *(F.col(c).alias(f"{c}_b") for c in ("a", "size", "at", "component", *LONGS)))
-    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in LONGS[1:]), F.bit_count(F.col(LONGS[0]).bitwiseXOR(F.col(f"{LONGS[0]}_b"))))
-    few = differ <= (F.col("size") + F.col("size_b")) * F.lit((1 - least) / (1 + least)) + 1e-6
+    joined = written(joined.join(parts.where("parts > 1").drop("parts"), "key"))
+    others = joined.where(F.col("component") != F.col("most")).select("key", *(F.col(c).alias(f"{c}_b") for c in ("a", "size", "at", "component", "prefix", *LONGS)))
     once = (F.col("component") == F.col("most")) | (F.col("a") < F.col("a_b"))
-    apart = joined.join(others, "key").where((F.col("component") != F.col("component_b")) & once & may_reach(least, F.col("size"), F.col("at"), F.col("size_b"), F.col("at_b"), F.least) & few)
-    return apart.select(F.least("a", "a_b").alias("a"), F.greatest("a", "a_b").alias("b")).distinct()
+    first = F.array_intersect("prefix", "prefix_b").getItem(0) == F.col("key")
+    return joined.join(others, "key").where((F.col("component") != F.col("component_b")) & once & may_be_alike(least) & first).select("a", F.col("a_b").alias("b"))
 
 
 def near_copies(df: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -228,12 +246,14 @@ def near_copies(df: DataFrame, id_column: str = "doc_id", text: str = "text", sh
         raise ValueError("a similarity above 0, 1 at most")
     df = df.select(F.col(f"`{id_column}`").cast("long").alias("__id"), F.col(f"`{text}`").alias("__text"))
     rows = written(prefixes(df, "__text", shingle, least, shingle_counts(df, "__text", shingle)))
-    met = written(meetings(rows.where("size > 0").dropDuplicates(["node"]), least))
-    pairs = written(pairs_of(by_prints(rows).unionByName(met.where("b is not null").select("a", "b"))))
+    sets = rows.where("size > 0").dropDuplicates(["node"])
+    met = written(meetings(sets, least))
+    crowds = written(met.where("b is null").drop("b").join(sets.select(F.col("node").alias("a"), "prefix", *LONGS), "a"))
+    pairs = written(pairs_of(by_prints(rows).unionByName(met.where("b is not null").select("a", "b")).unionByName(together(crowds, least))))
     links = written(alike(df, pairs, "__text", shingle, least))
     members = written(connected_components(links))
-    if met.where("b is null").limit(1).count():
-        more = written(strangers(met.where("b is null").select("key", "a", "size", "at"), members, rows, least).join(pairs, ["a", "b"], "left_anti"))
+    if crowds.limit(1).count():
+        more = written(pairs_of(strangers(crowds, members, least)).join(pairs, ["a", "b"], "left_anti"))
         if more.limit(1).count():
             members = joined_components(members, written(alike(df, more, "__text", shingle, least)))
     groups = rows.groupBy(F.col("node").alias("fp")).agg(F.min("__id").alias("least"), F.count(F.lit(1)).alias("n"))

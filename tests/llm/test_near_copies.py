@@ -89,6 +89,17 @@ def test_fingerprints_find_candidates_before_prefixes_do(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6}
 
 
+def test_pairs_of_a_crowd_do_not_grow_with_its_square(spark, monkeypatch):
+    rng, made = random.Random(9), []
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = {k: edited(rng, list(base), rng.randrange(2, 6)) for k in range(600)}
+    whole = near_copies.strangers
+    monkeypatch.setattr(near_copies, "strangers", lambda *args: made.append(whole(*args)) or made[-1])
+    found = near_copies.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == brute(texts)
+    assert sum(x.count() for x in made) <= len(texts)
+
+
 def test_links_that_span_are_of_those_given():
     rng = np.random.default_rng(3)
     for n in (1, 2, 50, 400):
