@@ -25,8 +25,10 @@ corpus' words share a 64-bit hash is unlikely: 3 in 10 million for four million
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -93,7 +95,7 @@ def code_blocks(df: DataFrame, id_column: str, text: str, fold: int, folds: int,
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        vocabulary: dict[bytes, int] = {b"": 0}
+        vocabulary: dict[bytes, int] = defaultdict(count(1).__next__, {b"": 0})
         ids, train, lengths, tokens = [], [], [], []
         held = 0
 
@@ -118,7 +120,7 @@ def code_blocks(df: DataFrame, id_column: str, text: str, fold: int, folds: int,
         for batch in batches:
             for key, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = lower_words(x.as_py())
-                tokens.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in found), np.int64, len(found)))
+                tokens.append(np.fromiter(map(vocabulary.__getitem__, found), np.int64, len(found)))
                 tokens.append(np.zeros(1, np.int64))
                 ids.append(key)
                 train.append(id_remainder(key, folds) != fold)
@@ -126,7 +128,7 @@ def code_blocks(df: DataFrame, id_column: str, text: str, fold: int, folds: int,
                 held += len(found) + 1
                 if held >= BLOCK_TOKENS:
                     yield from finished()
-                    vocabulary, number, held = {b"": 0}, number + 1, 0
+                    vocabulary, number, held = defaultdict(count(1).__next__, {b"": 0}), number + 1, 0
                     ids, train, lengths, tokens = [], [], [], []
         if ids:
             yield from finished()
@@ -232,13 +234,13 @@ class Classes:
 
 def feature_codes(block: Block, start: int, stop: int) -> np.ndarray:
     """The features of tokens start to stop, as 64-bit codes: (n, FEATURES), those within classes first."""
-    first = np.repeat(np.cumsum(block.lengths, dtype=np.int64) - block.lengths, block.lengths)[start:stop]
-    at = np.arange(start, stop)
-    h = block.hashes.astype(np.uint64)
-    back = []
-    for k in (1, 2, 3):
-        before = at - k
-        back.append(np.where(before >= first, h[block.tokens[np.maximum(before, 0)]], np.uint64(k)))
+    ends = np.cumsum(block.lengths, dtype=np.int64)
+    docs = slice(int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop - 1, "right")) + 1)
+    begins, to = ends[docs] - block.lengths[docs], np.minimum(ends[docs], stop)
+    after = np.arange(start, stop) - np.repeat(begins, to - np.maximum(begins, start))  # tokens of the document before each
+    held = min(start, 3)
+    h = np.concatenate([np.zeros(3 - held, np.uint64), block.hashes.take(block.tokens[start - held : stop]).astype(np.uint64)])
+    back = [np.where(after >= k, h[3 - k : len(h) - k], np.uint64(k)) for k in (1, 2, 3)]
     return np.stack([back[0] * np.uint64(4), (back[0] * MIX + back[1]) * np.uint64(4) + np.uint64(1), back[1] * np.uint64(4) + np.uint64(2), back[2] * np.uint64(4) + np.uint64(3)], axis=1)
 
 
@@ -257,7 +259,8 @@ def softmax(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray, wide: int)
     z = weights.take(rows[:, 0], 0, mode="clip")
     for k in range(1, rows.shape[1]):
         z += weights.take(rows[:, k], 0, mode="clip")
-    z = z[:, :wide] + prior
+    z = z[:, :wide]
+    z = np.add(z, prior, out=z if z.flags.c_contiguous else None)
     z -= z.max()  # one shift for all rows is fast, and will do unless they lie far apart
     e = np.exp(z)
     sums = e @ np.ones(e.shape[1], np.float32)
@@ -271,7 +274,7 @@ def softmax(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray, wide: int)
 def chosen_logp(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray, chosen: np.ndarray, wide: int) -> np.ndarray:
     """Log probability of each row's choice."""
     z, _, sums = softmax(weights, prior, rows, wide)
-    return z[np.arange(len(z)), chosen].astype(np.float64) - np.log(sums)
+    return z.ravel().take(np.arange(0, z.size, z.shape[1]) + chosen).astype(np.float64) - np.log(sums)
 
 
 @dataclass
@@ -293,52 +296,60 @@ class Model:
         leaf = (block.hashes % np.uint32(LEAVES)).astype(np.int64)
         return classes, leaf, self.classes.logp(block.counts, classes, leaf)
 
-    def choices(self, classes: np.ndarray, leaf: np.ndarray, codes: np.ndarray) -> Iterator[tuple[np.ndarray | None, np.ndarray, np.ndarray, np.ndarray]]:
-        """Below the classes, level by level: which tokens choose, rows of weights, priors and what is chosen."""
+    def choices(self, classes: np.ndarray, leaf: np.ndarray, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Below the classes, level by level: which tokens choose, rows of weights, priors by node, nodes and what is chosen."""
         for level, shares in ((1, self.classes.parts), (2, self.classes.leaves)):
             own = np.flatnonzero(self.classes.depth[classes] >= level)
             c, x = classes[own], leaf[own]
             node, chosen = (c, x // WIDE) if level == 1 else (c * WIDE + x // WIDE, x % WIDE)
-            yield own, weight_rows(codes[own, :INNER], node + 1 + (level - 1) * len(self.classes), self.bits), shares[node], chosen
+            yield own, weight_rows(codes[own, :INNER], node + 1 + (level - 1) * len(self.classes), self.bits), shares, node, chosen
 
     def logp(self, classes: np.ndarray, leaf: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Log probability of each token's class, part and leaf after its features."""
         out = chosen_logp(self.weights, self.bias, weight_rows(codes, 0, self.bits), classes, len(self.classes))
-        for own, rows, prior, chosen in self.choices(classes, leaf, codes):
+        for own, rows, shares, node, chosen in self.choices(classes, leaf, codes):
             if len(own):
-                out[own] += chosen_logp(self.weights, prior, rows, chosen, WIDE)
+                out[own] += chosen_logp(self.weights, shares.take(node, 0), rows, chosen, WIDE)
         return out
 
 
-def step(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray, chosen: np.ndarray, wide: int, seen: np.ndarray, squares: np.ndarray, rate: float) -> np.ndarray:
-    """A gradient step over a batch; changes weights, seen and squares in place and returns the mean gradient."""
-    _, e, sums = softmax(weights, prior, rows, wide)
-    g = e / -sums[:, None]
-    g[np.arange(len(chosen)), chosen] += 1
-    flat = rows.ravel()
-    order = np.argsort(flat)
-    ordered = flat[order]
-    new = np.append(True, ordered[1:] != ordered[:-1])
-    begins, again = np.flatnonzero(new), np.flatnonzero(~new)
-    each = g.take(order // rows.shape[1], 0, mode="clip")
-    sums, own = each.take(begins, 0, mode="clip"), ordered[begins]
-    if len(again):  # few rows of weights are met more than once
-        to = (np.cumsum(new) - 1)[again]
+def step(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray, chosen: np.ndarray, wide: int, squares: np.ndarray, rate: float) -> np.ndarray:
+    """A gradient step over a batch; changes weights and squares in place and returns the gradient of each row's choices."""
+    shift = rows.size.bit_length()
+    keys = rows.ravel().astype(np.int64) << shift
+    keys |= np.arange(rows.size)
+    keys.sort()
+    ordered, at = keys >> shift, keys & ((1 << shift) - 1)
+    new = np.empty(len(keys), bool)
+    new[:1] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    begins, to = np.flatnonzero(new), np.cumsum(new) - 1
+    own, place = ordered.take(begins), np.empty(len(keys), np.int64)
+    place[at] = to
+    held = weights.take(own, 0, mode="clip")  # the table of weights is read and written once a row
+    _, g, sums = softmax(held, prior, place.reshape(rows.shape), wide)
+    g *= (-1 / sums)[:, None]
+    g.reshape(-1)[np.arange(0, g.size, wide) + chosen] += 1
+    at //= rows.shape[1]
+    change = g.take(at.take(begins), 0, mode="clip")
+    if len(begins) < len(keys):  # few rows of weights are met more than once
+        again = np.flatnonzero(~new)
+        to = to.take(again)
         starts = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-        sums[to[starts]] += np.add.reduceat(each.take(again, 0, mode="clip"), starts, axis=0)
-    size = squares[own] + np.einsum("ij,ij->i", sums, sums)
+        change[to[starts]] += np.add.reduceat(g.take(at.take(again), 0, mode="clip"), starts, axis=0)
+    size = squares.take(own) + (change * change) @ np.ones(wide, np.float32)
     squares[own] = size
-    sums *= (np.float32(rate) / np.sqrt(size))[:, None]
-    if wide < weights.shape[1]:
-        weights[own, :wide] += sums
+    change *= (np.float32(rate) / np.sqrt(size))[:, None]
+    if wide < held.shape[1]:
+        held[:, :wide] += change
     else:
-        weights[own] = weights.take(own, 0, mode="clip") + sums
-    seen[own] += np.diff(np.append(begins, len(ordered)))
-    return g.mean(axis=0)
+        held += change
+    weights[own] = held
+    return g
 
 
 def learn(model: Model, block: Block, weights: np.ndarray, bias: np.ndarray, seen: np.ndarray, squares: np.ndarray, rate: float) -> None:
-    """Gradient steps over the block's training tokens; changes weights, bias, seen and squares in place."""
+    """Gradient steps over the block's training tokens; changes weights, bias, seen (how often each row was met) and squares in place."""
     classes, leaf, _ = model.targets(block)
     learned = np.repeat(block.train.astype(bool), block.lengths)
     n, wide = len(block.tokens), len(model.classes)
@@ -348,10 +359,13 @@ def learn(model: Model, block: Block, weights: np.ndarray, bias: np.ndarray, see
         codes, own = feature_codes(block, start, stop)[use], block.tokens[start:stop][use]
         rows, target = weight_rows(codes, 0, model.bits), classes[own]
         for a in range(0, len(rows), BATCH):
-            bias += np.float32(rate / 4) * step(weights, bias, rows[a : a + BATCH], target[a : a + BATCH], wide, seen, squares, rate)
-        for _, rows, prior, chosen in model.choices(target, leaf[own], codes):
+            g = step(weights, bias, rows[a : a + BATCH], target[a : a + BATCH], wide, squares, rate)
+            bias += np.float32(rate / 4 / len(g)) * (np.ones(len(g), np.float32) @ g)
+        seen += np.bincount(rows.ravel(), minlength=len(seen))
+        for _, rows, shares, node, chosen in model.choices(target, leaf[own], codes):
             for a in range(0, len(rows), BATCH):
-                step(weights, prior[a : a + BATCH], rows[a : a + BATCH], chosen[a : a + BATCH], WIDE, seen, squares, rate * INNER_RATE)
+                step(weights, shares.take(node[a : a + BATCH], 0), rows[a : a + BATCH], chosen[a : a + BATCH], WIDE, squares, rate * INNER_RATE)
+            seen += np.bincount(rows.ravel(), minlength=len(seen))
 
 
 def block_of(row: dict) -> Block:

@@ -114,3 +114,45 @@ def test_features_within_classes_help_held_out_tokens(spark):
     held = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
     bits = lambda column: -sum(r[column] for r in held) / sum(r.n_tokens for r in held) * math.log2(10)
     assert bits("score") < bits("base_score") - 2
+
+
+class Counted(np.ndarray):
+    """An array that tells which rows are taken."""
+
+    def take(self, rows, *args, **kwargs):
+        self.told.extend(np.asarray(rows).tolist())
+        return np.asarray(self).take(rows, *args, **kwargs)
+
+
+@pytest.mark.parametrize("wide", [5, 16])
+def test_a_step_follows_the_gradient_and_reads_a_row_of_weights_once(wide):
+    rng = np.random.default_rng(4)
+    weights, prior, squares = rng.normal(size=(64, 16)).astype(np.float32), rng.normal(size=wide).astype(np.float32), np.full(64, 2, np.float32)
+    rows, chosen = rng.integers(0, 30, (50, 3)).astype(np.int32), rng.integers(0, wide, 50)
+    z = weights[rows].sum(axis=1)[:, :wide] + prior
+    g = np.eye(wide)[chosen] - np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    want, size = weights.astype(float), squares.astype(float)
+    for r in np.unique(rows):
+        change = sum(g[i] for i, k in zip(*np.nonzero(rows == r), strict=True))
+        size[r] += change @ change
+        want[r, :wide] += 0.3 * change / np.sqrt(size[r])
+    own = weights.view(Counted)
+    own.told = []
+    got = lm.step(own, prior, rows, chosen, wide, squares, 0.3)
+    assert np.allclose(got, g, atol=1e-5) and np.allclose(weights, want, atol=1e-4) and np.allclose(squares, size, atol=1e-4)
+    assert sorted(own.told) == np.unique(rows).tolist()
+
+
+def test_features_of_a_slice_are_those_of_the_whole():
+    rng = np.random.default_rng(6)
+    lengths = rng.integers(1, 6, 200)
+    n = int(lengths.sum())
+    block = lm.Block([], np.ones(200, np.uint8), lengths, rng.integers(0, 50, n).astype(np.uint32), rng.integers(0, 1 << 32, 50).astype(np.uint32), np.ones(50), 0)
+    whole, at = lm.feature_codes(block, 0, n), 0
+    for size in lengths:  # by document, one token at a time
+        for k in range(size):
+            back = [int(block.hashes[block.tokens[at + k - d]]) if k >= d else d for d in (1, 2, 3)]
+            assert whole[at + k].tolist() == [back[0] * 4, (back[0] * int(lm.MIX) + back[1]) * 4 + 1 & MASK, back[1] * 4 + 2, back[2] * 4 + 3]
+        at += size
+    for start, stop in ((0, 1), (1, 2), (2, 9), (37, 300), (n - 1, n)):
+        assert np.array_equal(lm.feature_codes(block, start, stop), whole[start:stop])
