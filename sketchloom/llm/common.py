@@ -80,6 +80,13 @@ def written(df: DataFrame, folder: str | None = None, rows_a_file: int = 0) -> D
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def removed(spark: SparkSession, *folders: str) -> None:
+    """Deletes tables that nothing reads any more, wherever the shared folder is."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_spread(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", n: str = "n", share: int = 1000) -> DataFrame:
     """rows joined to `few` by key, which has one row a key (a written table) and in n how many of `rows` have it; n is dropped.
 

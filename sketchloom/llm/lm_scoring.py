@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.llm.common import LOWER_BYTES, id_remainder, written
+from sketchloom.llm.common import LOWER_BYTES, id_remainder, removed, shared_folder, written
 
 #: Tokens of a block, at least, but for a task's last.
 BLOCK_TOKENS = 1 << 21
@@ -436,8 +436,9 @@ _CHANGE = pa.schema([("chunk", pa.int32()), ("change", pa.binary()), ("seen", pa
 def corpus_blocks(df: DataFrame, id_column: str, text: str, fold: int, folds: int) -> tuple[DataFrame, dict[tuple[int, int], tuple[int, int]]]:
     """Blocks of df's documents with the corpus' counts, as a table, and (words, tokens) by count bin and leaf."""
     bits = bucket_bits(df.count())
-    coded = written(code_blocks(df, id_column, text, fold, folds, bits))
-    counted = written(count_buckets(coded))
+    folders = [shared_folder(df.sparkSession) for _ in range(2)]
+    coded = written(code_blocks(df, id_column, text, fold, folds, bits), folders[0])
+    counted = written(count_buckets(coded), folders[1])
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -455,7 +456,9 @@ def corpus_blocks(df: DataFrame, id_column: str, text: str, fold: int, folds: in
     bodies = coded.where("bucket = -1").select("block", "ids", "train", "lengths", "tokens", "hashes", "end_place")
     whole = bodies.groupBy("block").cogroup(counted.select("block", "bucket", "counts").groupBy("block")).applyInArrow(merged, "block long, ids array<long>, train binary, lengths binary, tokens binary, hashes binary, end_place long, counts binary")
     number = coded.where("bucket = -1").count()
-    return written(whole, rows_a_file=max(1, number // BLOCK_FILES)), {((r.bin // LEAVES, r.bin % LEAVES) if r.bin >= 0 else (-1, 0)): (r.n, r.m) for r in sums}
+    blocks = written(whole, rows_a_file=max(1, number // BLOCK_FILES))
+    removed(df.sparkSession, *folders)  # as large as the blocks
+    return blocks, {((r.bin // LEAVES, r.bin % LEAVES) if r.bin >= 0 else (-1, 0)): (r.n, r.m) for r in sums}
 
 
 def score(df: DataFrame, id_column: str = "doc_id", text: str = "text", fold: int = 0, folds: int = 10, classes: int = WIDE, bits: int | None = None, rounds: int = 1, rate: float = 0.7) -> DataFrame:

@@ -156,3 +156,13 @@ def test_features_of_a_slice_are_those_of_the_whole():
         at += size
     for start, stop in ((0, 1), (1, 2), (2, 9), (37, 300), (n - 1, n)):
         assert np.array_equal(lm.feature_codes(block, start, stop), whole[start:stop])
+
+
+def test_only_the_blocks_are_left_on_disk(spark, monkeypatch, tmp_path):
+    whole = lm.written
+    names = iter("abcdef")
+    monkeypatch.setattr(lm, "shared_folder", lambda spark: f"{tmp_path}/{next(names)}")
+    monkeypatch.setattr(lm, "written", lambda df, folder=None, **more: whole(df, folder or f"{tmp_path}/blocks", **more))
+    blocks, _ = lm.corpus_blocks(table(spark, SF, "documents"), "doc_id", "text", 0, 10)
+    assert [x.name for x in tmp_path.iterdir()] == ["blocks"]
+    assert sum(len(r.ids) for r in blocks.collect()) == table(spark, SF, "documents").count()
