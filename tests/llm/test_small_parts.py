@@ -207,6 +207,23 @@ def test_paths_are_the_librarys_for_a_unigram_model(codec):
         assert codec.encode(text)[1] == pytest.approx(best)
 
 
+def test_new_parts_are_encoded_together_and_as_one_by_one(monkeypatch):
+    own = sentencepiece.Codec(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(["the", "an", "ión", "wh", "é", "x", ".\n", "q", "7", "%%"], rng.integers(1, 9)))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(20)] + ["", " ", "  a", "a ", "\n", "a  b " * 3, "y" * 62, "one 𐀀two", "z" * 63 + " end"]
+    want = [own.path((" " + x).replace(" ", sentencepiece.SPACE)) if x else ([], 0.0) for x in texts]
+    calls = []
+    path = own.path
+    monkeypatch.setattr(own, "path", lambda x: calls.append(x) or path(x))
+    assert [own.encode(x) for x in texts] == [(np.array(ids, "<u4").tobytes(), score) for ids, score in want]
+    assert sorted(calls) == ["▁" + "z" * 63, "▁𐀀two"]  # a long part, and a character of several bytes without a piece; before, every new part
+    assert "z" * 63 not in own.memo and "𐀀two" in own.memo
+    own.memo.clear()
+    own.table.fits = False  # as for a model that is too large
+    assert [own.encode(x) for x in texts] == [(np.array(ids, "<u4").tobytes(), score) for ids, score in want]
+
+
 def test_bytes_that_are_no_text_decode_to_replacements(codec):
     assert codec.decode([codec.byte[0xFF], codec.byte[0x41]]) == "�A" and codec.decode([]) == ""
 
