@@ -233,29 +233,32 @@ def write_tokens(df: DataFrame, tokenizer: str, folder: str, end: int = 2, id_co
     docs = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
 
     def drafted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        encode, shard = encoder(tokenizer).arrays, TaskContext.get().partitionId()
         files, path = store.opened(folder)
-        last = int(end).to_bytes(4, "little")
-        keys, parts, held, number = [], [], 0, 0
+        keys, sizes, parts, held, number = [], [], [], 0, 0
 
         def wrote() -> pa.RecordBatch:
-            lengths = np.array([len(p) // 4 for p in parts], np.int64)
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            lengths, ids = np.concatenate(sizes), np.concatenate(parts)
             name = f"{shard:06d}-{number:06d}"
             store.put(files, f"{path}/{name}.draft", _draft(keys, lengths, ids))
             counts = np.bincount(ids).astype("<i8").tobytes()
             return pa.RecordBatch.from_pylist([{"shard": shard, "number": number, "file": name, "documents": len(keys), "tokens": len(ids), "counts": zstandard.compress(counts)}], _MANIFEST)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                for key, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
-                    keys.append(key)
-                    parts.append(ids + last)
-                    held += len(parts[-1]) // 4
+            row = 0
+            for ids, lengths in encode(batch.column(1)):
+                own, row = batch.column(0).slice(row, len(lengths)).to_pylist(), row + len(lengths)
+                ids, lengths = np.insert(ids, np.cumsum(lengths), end), lengths + 1
+                ends, done = np.append(0, np.cumsum(lengths)), 0
+                while done < len(own):  # up to the document that fills a file
+                    to = min(len(own), int(np.searchsorted(ends, ends[done] + FILE_TOKENS - held)))
+                    keys += own[done:to]
+                    sizes.append(lengths[done:to])
+                    parts.append(ids[ends[done] : ends[to]])
+                    held, done = held + len(parts[-1]), to
                     if held >= FILE_TOKENS:
                         yield wrote()
-                        keys, parts, held, number = [], [], 0, number + 1
+                        keys, sizes, parts, held, number = [], [], [], 0, number + 1
         if keys:
             yield wrote()
 

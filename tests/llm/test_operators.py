@@ -146,6 +146,20 @@ def test_token_files_of_odd_rows(spark, odd, none, monkeypatch):
         token_files.read_tokens(spark, folder).collect()
 
 
+def test_token_files_end_with_the_document_that_fills_them(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_TOKENS", 100)
+    texts = {k: "a " * (k * 7 % 60) for k in range(200)} | {77: "b " * 500}
+    folder = shared_folder(spark)
+    found = token_files.tokens_round_trip(spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1), BYTE, folder=folder)
+    rows = sorted((r.shard, r.number, r.position, r.n_tokens) for r in found.collect())
+    assert [n for *_, n in rows] == [len(ids) + 1 for ids in encoded(BYTE, [texts[k] for k in range(200)])]
+    files = {}
+    for shard, number, _, n in rows:
+        files.setdefault((shard, number), []).append(n)
+    last = {shard: number for shard, number in sorted(files)}
+    assert len(files) > 20 and all(sum(f[:-1]) < 100 and (sum(f) >= 100 or last[at[0]] == at[1]) for at, f in files.items())
+
+
 # sentencepiece
 
 

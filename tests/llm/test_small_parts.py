@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece as spm
 import xxhash
@@ -45,6 +46,34 @@ def test_hard_texts(encoder):
         assert np.frombuffer(next(encoder.encode([text])), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(TEXTS | st.text(max_size=8), max_size=9), together=st.sampled_from([1, 30, 1 << 20]), skip=st.integers(0, 2))
+@pytest.mark.parametrize("name", WORDS)
+def test_many_texts_together_give_the_tokenizers_ids(name, texts, together, skip):
+    own = tokens.encoder(public_tokenizers.path(name))
+    own.clear()
+    own.spaced.clear()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tokens, "TOGETHER", together)
+        for _ in range(2):  # new parts, then known ones
+            found = list(own.arrays(pa.array(texts, pa.string()).slice(skip)))
+    want = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts[skip:]]
+    assert [n for _, lengths in found for n in lengths.tolist()] == [len(x) for x in want]
+    assert [x for ids, _ in found for x in ids.tolist()] == [x for w in want for x in w]
+
+
+def test_words_are_learnt_without_the_marks_around_them(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_CHUNKS", 400)
+    own = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    words = [f"{a}{b}é" for a in "abcdefghijklmnopq" for b in "abcdefghijklmnopq"]
+    texts = ["\n".join(f"{w}{m} {w} {m}{w}" for w in words) for m in (".", ",", "!", "?", ";", ":", "...", "--")]
+    want = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
+    assert len(own.spaced.numbers) == 2 * len(words) + 2 * 8 + 1  # words with a space before them and without, marks likewise, the line break
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts[:1])] == want[:1]
+    assert len(own.spaced.numbers) == 2 * len(words) + 2 + 1  # begun anew, as there were too many
+
+
 def best_fit(lengths, capacity):
     bins = []
     for n in sorted(lengths, reverse=True):
