@@ -18,6 +18,7 @@ import json
 import re
 import struct
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,9 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 OTHER_SPACE = SEPARATORS + "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Letters that normalisation keeps as they are, and ASCII signs other than the apostrophe.
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\[-`{-~]*)")
-#: Bytes of texts that are parted together, at most, unless one text has more.
+#: Bytes of texts that are parted together, at most; a longer text is cut after so many, before a space that ends a word.
 TOGETHER = 8 << 20
+CUT = re.compile(rb"(?<=\S) ")
 PACKS = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
@@ -167,6 +169,15 @@ class Spaced:
         place += np.arange(len(place))
         return self.ids[place], np.diff(ends[np.searchsorted(at, bounds)])
 
+    def long(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one text of more than TOGETHER bytes."""
+        cuts = [0]
+        if not len(holders(data, np.array([len(data)]))):
+            while found := CUT.search(data, cuts[-1] + TOGETHER):
+                cuts.append(found.start())
+        ids = np.concatenate([self.encode(data[a:b], np.array([0, b - a]))[0] for a, b in pairwise([*cuts, len(data)])])
+        return ids, np.array([len(ids)])
+
 
 class Encoder(dict):
     """Encodes texts to little-endian unsigned 32-bit ids; as a dictionary, it has the ids of chunks met."""
@@ -239,7 +250,8 @@ class Encoder(dict):
         bounds, at = bounds[texts.offset : texts.offset + len(texts) + 1], 0
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + TOGETHER, "right")) - 1)
-            yield self.spaced.encode(data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at])
+            some = data[bounds[at] : bounds[to]]
+            yield self.spaced.long(some) if len(some) > TOGETHER else self.spaced.encode(some, bounds[at : to + 1] - bounds[at])
             at = to
 
 
