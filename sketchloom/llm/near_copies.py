@@ -15,12 +15,14 @@ largest component then meets the rest of the crowd, each pair at the first shing
 pass by bounds on size and place and by parity bits: each set has BITS bits, the parities of its
 hashes that fall to them, and two sets differ in as many elements, at least, as bits. Few others
 than sets that are alike pass, and only these pairs are made; their sets are compared, each once.
+Pairs found otherwise pass by parity bits too before whole sets are fetched, which are most of
+what the search keeps on disk.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ FEW, NEIGHBOURS, TOGETHER = 32, 4, 8
 SLOTS, SLOTS_A_ROW = 18, 4096
 #: Parity bits of a set, in longs.
 BITS, LONGS = 1024, [f"bits{k}" for k in range(16)]
+#: Where bits of a set's name are taken that mark it.
+SHIFTS = (0, 16, 32)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -165,27 +169,65 @@ def meetings(sets: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(met, "key long, a long, size int, at int, b long")
 
 
-def alike(df: DataFrame, pairs: DataFrame, text: str, shingle: int, least: float) -> DataFrame:
-    """The pairs (a, b) of sets whose similarity is at least `least`, by the sets themselves."""
-    spark = df.sparkSession
-    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+def among(ends: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """Tells, in tasks, which of some sets' names may be in ends' column `node`: all that are, and about one of 200 others, one of 30 at most."""
+    nodes = written(ends.select("node").distinct())
     bits = 1 << max(6, (8 * nodes.count()).bit_length())
-    slot = F.col("node").bitwiseAND(F.lit(bits - 1))
-    marks = np.zeros(bits // 64, np.int64)
-    for at, word in nodes.select(F.shiftright(slot, 6).alias("at"), F.expr("shiftleft(1L, cast(node & 63L as int))").alias("bit")).groupBy("at").agg(F.expr("bit_or(bit)").alias("word")).collect():  # 2 bytes a set to compare
-        marks[at] = word
-    shared = spark.sparkContext.broadcast(marks)
+    slots = F.array(*(F.shiftrightunsigned("node", k).bitwiseAND(F.lit(bits - 1)) for k in SHIFTS))
+    words = nodes.select(F.explode(slots).alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63L as int)))").alias("word")).toArrow()  # 2 bytes a set
+    marks = np.zeros(bits // 64, np.uint64)
+    marks[words.column("at").to_numpy()] = words.column("word").to_numpy().view(np.uint64)
+    shared = ends.sparkSession.sparkContext.broadcast(marks)
+
+    def told(names: np.ndarray) -> np.ndarray:
+        marks, own, found = shared.value, names.view(np.uint64), np.ones(len(names), bool)
+        for k in SHIFTS:
+            slot = own >> np.uint64(k) & np.uint64(bits - 1)
+            found &= (marks[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return found
+
+    return told
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
+def sets_among(rows: DataFrame, ends: DataFrame, *columns: str) -> DataFrame:
+    """node and the columns, once for each set in `ends` (node) and few others: nothing else of `rows` is dealt out."""
+    told = among(ends)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(told(batch.column(0).to_numpy())))
+
+    every = rows.where("size > 0").select("node", *columns)
+    return every.mapInArrow(some, every.schema).dropDuplicates(["node"])
+
+
+def by_parities(rows: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) that may be alike by their sets' sizes and parity bits, so that the whole sets of no others are fetched."""
+    own = written(sets_among(rows, ends_of(pairs), "size", *LONGS))
+    others = own.select(F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("size", *LONGS)))
+    return pairs.join(own.withColumnRenamed("node", "a"), "a").join(others, "b").where(differ_little(least)).select("a", "b")
+
+
+def alike(df: DataFrame, pairs: DataFrame, text: str, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) of sets whose similarity is at least `least`, by the sets themselves.
+
+    Sets are dealt out by name once, for both ends; then those of a follow their pairs to b.
+    """
+    told = among(ends_of(pairs))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                found = [shingle_set(x.as_py(), shingle) for x in batch.column(0).slice(at, 1000)]
-                named = [(n, s.view(np.int64)) for s in found if marks[((n := node_of(s)) & bits - 1) >> 6] >> (n & 63) & 1]
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in named], pa.int64()), pa.array([s for _, s in named], pa.list_(pa.int64()))], names=["node", "own"])
-
-    own = written(df.select(F.col(f"`{text}`")).mapInArrow(sets, "node long, own array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+                found = [s for x in batch.column(0).slice(at, 1000) if len(s := shingle_set(x.as_py(), shingle))]
+                names = np.array([node_of(s) for s in found], np.int64)
+                own = told(names)
+                yield pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array([s.view(np.int64) for s, x in zip(found, own, strict=True) if x], pa.list_(pa.int64()))], names=["node", "own"])
 
+    own = df.select(F.col(f"`{text}`")).mapInArrow(sets, "node long, own array<long>").dropDuplicates(["node"])
     with_a = pairs.join(own.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
     both = with_a.join(own.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b").withColumn("both", F.size(F.array_intersect("own_a", "own_b")))
     return both.where(F.col("both") >= (F.size("own_a") + F.size("own_b") - F.col("both")) * F.lit(least) - 1e-9).select("a", "b")
@@ -202,11 +244,15 @@ def by_prints(rows: DataFrame) -> DataFrame:
     return same.unionByName(near.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))).where("a != b")
 
 
+def differ_little(least: float) -> Column:
+    """Whether the parity bits of sets, the second with names in _b, differ in so few that the sets may share enough."""
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in LONGS[1:]), F.bit_count(F.col(LONGS[0]).bitwiseXOR(F.col(f"{LONGS[0]}_b"))))
+    return differ <= (F.col("size") + F.col("size_b")) * F.lit((1 - least) / (1 + least)) + 1e-6
+
+
 def may_be_alike(least: float) -> Column:
     """Whether sets that meet in a crowd, the second with names in _b, may share enough."""
-    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in LONGS[1:]), F.bit_count(F.col(LONGS[0]).bitwiseXOR(F.col(f"{LONGS[0]}_b"))))
-    few = differ <= (F.col("size") + F.col("size_b")) * F.lit((1 - least) / (1 + least)) + 1e-6
-    return may_reach(least, F.col("size"), F.col("at"), F.col("size_b"), F.col("at_b"), F.least) & few
+    return may_reach(least, F.col("size"), F.col("at"), F.col("size_b"), F.col("at_b"), F.least) & differ_little(least)
 
 
 def pairs_of(met: DataFrame) -> DataFrame:
@@ -248,8 +294,10 @@ def near_copies(df: DataFrame, id_column: str = "doc_id", text: str = "text", sh
     rows = written(prefixes(df, "__text", shingle, least, shingle_counts(df, "__text", shingle)))
     sets = rows.where("size > 0").dropDuplicates(["node"])
     met = written(meetings(sets, least))
-    crowds = written(met.where("b is null").drop("b").join(sets.select(F.col("node").alias("a"), "prefix", *LONGS), "a"))
-    pairs = written(pairs_of(by_prints(rows).unionByName(met.where("b is not null").select("a", "b")).unionByName(together(crowds, least))))
+    crowds = met.where("b is null").drop("b")
+    crowds = written(crowds.join(sets_among(rows, crowds.select(F.col("a").alias("node")), "prefix", *LONGS).withColumnRenamed("node", "a"), "a"))
+    found = written(pairs_of(by_prints(rows).unionByName(met.where("b is not null").select("a", "b")).unionByName(together(crowds, least))))
+    pairs = written(by_parities(rows, found, least))
     links = written(alike(df, pairs, "__text", shingle, least))
     members = written(connected_components(links))
     if crowds.limit(1).count():

@@ -108,3 +108,36 @@ def test_links_that_span_are_of_those_given():
         x, y = simhash.spanning(a, b)
         assert set(zip(x.tolist(), y.tolist(), strict=True)) <= set(zip(a.tolist(), b.tolist(), strict=True)) and len(x) < 2 * len(np.unique([a, b]))
         assert all(np.array_equal(p, q) for p, q in zip(simhash.forest(x, y), simhash.forest(a, b), strict=True))
+
+
+def test_whole_sets_are_fetched_for_pairs_that_may_be_alike_only(spark, monkeypatch):
+    """Texts that share rare shingles meet, but what differs in far more than links allow isn't compared; no table has whole sets."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    common, texts = [fresh(60) for _ in range(6)], {}
+    for passage in common:  # frequent, so that the rare ones come first
+        for _ in range(10):
+            texts[len(texts)] = " ".join([*passage, *fresh(60)])
+    for _ in range(12):
+        rare = fresh(40)
+        for passage in rng.sample(common, 2):
+            texts[len(texts)] = " ".join([*rare, *passage])
+    for _ in range(5):
+        base = fresh(100)
+        for k in (0, 2, 3):
+            texts[len(texts)] = edited(rng, list(base), k)
+    compared, tables = [], []
+    alike, written = near_copies.alike, near_copies.written
+    monkeypatch.setattr(near_copies, "alike", lambda df, pairs, *args: compared.append(pairs.count()) or alike(df, pairs, *args))
+    monkeypatch.setattr(near_copies, "written", lambda df, *args: tables.append(df.columns) or written(df, *args))
+    found = near_copies.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == brute(texts)
+    assert sum(compared) <= 15 and not any("own" in columns for columns in tables)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_marks_tell_all_names_and_few_others(spark, n):
+    rng = np.random.default_rng(n)
+    names = rng.integers(-(2**63), 2**63, 60_000)
+    told = near_copies.among(spark.createDataFrame([(int(x),) for x in names[:n]], "node long"))(names)
+    assert told[:n].all() and told[n:].mean() < 1 / 25
